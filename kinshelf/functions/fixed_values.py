@@ -8,7 +8,7 @@ LABEL_EXTENSIONS = ["txt", "pdf", "md", "log", "docx", "xlsx"]
 
 # Directory names whose events are not followed.
 EXCLUDED_DIRECTORIES = [
-    "__pycache__", "node_modules", "venv", "env", ".git", ".idea", ".vscode",
+    "kinshelf.egg-info", "__pycache__", "node_modules", "venv", "env", ".git", ".idea", ".vscode",
     "dist", "build", ".pytest_cache", ".hypothesis",
 ]
 

@@ -101,7 +101,9 @@ def label_from_keywords(keywords: Column) -> Column:
         word = F.array_join(
             F.transform(
                 parts,
-                lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(p.substr(F.lit(2), F.length(p)))),
+                lambda p: F.concat(
+                    F.upper(F.substring(p, 1, 1)), F.lower(p.substr(F.lit(2), F.length(p)))
+                ),
             ),
             "_",
         )
@@ -122,16 +124,8 @@ def label_from_keywords(keywords: Column) -> Column:
             .otherwise(F.concat(kept, F.array(word)))
         )
 
-    def n_words(label: Column) -> Column:
-        return F.when(label == "", 0).otherwise(F.size(F.split(label, "_")))
-
-    def take(label: Column, word: Column) -> Column:
-        full = (n_words(label) >= 2) | (
-            (label != "") & (n_words(label) + n_words(word) > 2)
-        )
-        joined = F.when(label == "", word).otherwise(F.concat_ws("_", label, word))
-        # A word too long for the room left ends the label, so nothing follows it.
-        return F.when(full, F.concat(F.rtrim(label), F.lit(" "))).otherwise(joined)
+    def n_words(word: Column) -> Column:
+        return F.size(F.split(word, "_"))
 
     words = F.filter(F.transform(keywords, titled), lambda w: w != "")
     distinct = F.aggregate(words, empty, merge)
@@ -142,12 +136,11 @@ def label_from_keywords(keywords: Column) -> Column:
             F.exists(kept, lambda e: F.lower(e) == F.lower(w)), kept
         ).otherwise(F.concat(kept, F.array(w))),
     )
-    label = F.aggregate(
-        distinct,
-        F.lit(""),
-        lambda acc, w: F.when(acc.endswith(" "), acc).otherwise(take(acc, w)),
-    )
-    label = F.regexp_replace(F.rtrim(label), FORBIDDEN_IN_FOLDER_NAME, "")
+    first, second = F.get(distinct, F.lit(0)), F.get(distinct, F.lit(1))
+    label = F.when(
+        n_words(first) + n_words(second) <= 2, F.concat_ws("_", first, second)
+    ).otherwise(F.coalesce(first, F.lit("")))
+    label = F.regexp_replace(label, FORBIDDEN_IN_FOLDER_NAME, "")
     label = F.regexp_replace(F.regexp_replace(label, "_+", "_"), "^[_. ]+|[_. ]+$", "")
     return (
         F.when(F.size(keywords) == 0, "")
