@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinshelf.session import cut_lineage
@@ -12,8 +12,15 @@ def _links(a: str, b: str):
     return [F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")]
 
 
-def _state(pairs: DataFrame):
-    return pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
+def _settle(pairs: DataFrame) -> tuple[DataFrame, dict]:
+    """Materialise a round, counting and fingerprinting its pairs on the way."""
+    seen = Observation()
+    watched = pairs.observe(
+        seen,
+        F.count(F.lit(1)).alias("pairs"),
+        F.bit_xor(F.xxhash64("hi", "lo")).alias("fingerprint"),
+    )
+    return cut_lineage(watched), seen.get
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,11 +32,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     left. Rounds grow with the logarithm of the graph, and each is a pair of
     aggregations and equi-joins on pre-aggregated minima.
     """
-    pairs = cut_lineage(
+    pairs, state = _settle(
         edges.where(F.col("src") != F.col("dst")).select(*_links("src", "dst")).distinct()
     )
-    state = _state(pairs)
-    while state[0]:
+    while state["pairs"]:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -48,8 +54,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .select(F.col("e.lo").alias("hi"), F.col("e.m").alias("lo"))
             .distinct()
         )
-        pairs = cut_lineage(small)
-        before, state = state, _state(pairs)
+        before = state
+        pairs, state = _settle(small)
         if before == state:
             break
     return pairs.select(F.col("hi").alias("doc_id"), F.col("lo").alias("component")).unionAll(
