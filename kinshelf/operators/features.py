@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kinshelf.functions.fixed_values import NAMING_IGNORE
 from kinshelf.functions.paths import name_stem
 from kinshelf.functions.text import ASCII_WORD, naming_tokens
+from kinshelf.session import spread
 
 
 def document_tokens(
@@ -29,7 +30,8 @@ def document_tokens(
     body = F.nullif(F.col(text), F.lit(""))
     if filename:
         body = F.coalesce(body, F.col(filename))
-    return docs.select(
+    read = {"doc_id", text} | ({filename} if filename else set())
+    return spread(docs.select(*read)).select(
         "doc_id",
         naming_tokens(stem, ignore, word).alias("stem_tokens"),
         naming_tokens(body, ignore, word).alias("tokens"),

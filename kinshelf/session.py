@@ -46,6 +46,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out an input with fewer splits than there are cores.
+
+    Meant for a plain scan. A large collection has more splits than cores and is
+    left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def number_rows(
     df: DataFrame, by: list[str], order: list[Column], name: str = "ordinal"
 ) -> DataFrame:
