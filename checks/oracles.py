@@ -161,6 +161,18 @@ raw AS (
 group_weights AS (
     SELECT family, grp, term, w / sqrt(sum(w * w) OVER (PARTITION BY family, grp)) AS w FROM raw)"""
 
+BOOSTED = FAMILY_WEIGHTS + """,
+docs AS (SELECT lang AS family, source AS grp, array_to_string(words, ' ') AS doc FROM tokens),
+shares AS (
+    SELECT family, grp, term, any_value(w) AS w, count(*) AS size,
+           count(*) FILTER (contains(doc, term)) / count(*) AS share
+    FROM group_weights JOIN docs USING (family, grp) GROUP BY family, grp, term),
+boosted AS (
+    SELECT family, grp, term,
+           CASE WHEN size = 1 THEN w ELSE w * (0.4 + 0.6 * share)
+                * CASE WHEN contains(term, ' ') THEN 1.3 ELSE 1 END END AS score
+    FROM shares)"""
+
 ASSIGNED = FILES + """,
 assigned AS (
     SELECT doc_id, 'A/q' || quality || '/' || source AS folder
@@ -360,16 +372,16 @@ ORACLES: dict[str, str] = {
     "tfidf_vectors": f"WITH {TOKENS}, {VECTORS} SELECT doc_id, term, round(w, 6) AS w FROM vectors",
     "group_tfidf": f"""WITH {FAMILY_WEIGHTS}
         SELECT family, grp, term, round(w, 6) AS w FROM group_weights""",
-    "df_boost": f"""WITH {FAMILY_WEIGHTS},
-        docs AS (SELECT lang AS family, source AS grp, array_to_string(words, ' ') AS doc FROM tokens),
-        shares AS (
-            SELECT family, grp, term, any_value(w) AS w, count(*) AS size,
-                   count(*) FILTER (contains(doc, term)) / count(*) AS share
-            FROM group_weights JOIN docs USING (family, grp) GROUP BY family, grp, term)
-        SELECT family, grp, term,
-               round(CASE WHEN size = 1 THEN w ELSE w * (0.4 + 0.6 * share)
-                     * CASE WHEN contains(term, ' ') THEN 1.3 ELSE 1 END END, 6) AS score
-        FROM shares""",
+    "df_boost": f"""WITH {BOOSTED}
+        SELECT family, grp, term, round(score, 6) AS score FROM boosted""",
+    "contrast_terms": f"""WITH {BOOSTED}
+        SELECT family, grp, string_agg(term, ',' ORDER BY r) AS ranked
+        FROM (
+            SELECT *, row_number() OVER (
+                PARTITION BY family, grp ORDER BY round(score, 12) DESC, term DESC) AS r
+            FROM boosted
+            WHERE split_part(term, ' ', 1) IS DISTINCT FROM split_part(term, ' ', 2))
+        WHERE r <= 6 GROUP BY family, grp""",
     "extract_keywords": f"""WITH {KEYWORDS}
         SELECT cluster_id, string_agg(term, ',' ORDER BY r) AS keywords
         FROM (SELECT * FROM alone_ranked UNION ALL SELECT * FROM shared_ranked)

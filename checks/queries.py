@@ -370,7 +370,7 @@ def _families(t: Tables) -> DataFrame:
 @query
 def group_tfidf(t: Tables) -> DataFrame:
     weights = naming.group_tfidf(_tokens(t), _families(t))
-    return weights.withColumn("w", F.round("w", 6))
+    return weights.select("family", "grp", "term", F.round("w", 6).alias("w"))
 
 
 @query
@@ -382,6 +382,17 @@ def df_boost(t: Tables) -> DataFrame:
     return scores.withColumn("score", F.round("score", 6))
 
 
+@query
+def contrast_terms(t: Tables) -> DataFrame:
+    """The six best terms of each group, through the bounds."""
+    tokens, members = cut_lineage(_tokens(t)), _families(t)
+    weights = cut_lineage(naming.group_tfidf(tokens, members))
+    hopeful = cut_lineage(naming.promising_terms(weights, members))
+    shares = naming.term_shares(tokens, members, hopeful)
+    scores = naming.boosted_terms(hopeful, shares, members)
+    return naming.contrast_labels(scores).select("family", "grp", F.array_join("ranked", ",").alias("ranked"))
+
+
 @query
 def name_groups(t: Tables) -> DataFrame:
     members = _families(t).withColumn("kind", F.lit(0))
