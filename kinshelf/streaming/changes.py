@@ -88,12 +88,13 @@ def cooldown(changes: DataFrame, syncs: DataFrame, seconds: int = 3) -> DataFram
     return outside_intervals(changes, spans)
 
 
-def debounce(changes: DataFrame, seconds: int = 2, by: list[str] | None = None) -> DataFrame:
+def debounce(changes: DataFrame, seconds: int, by: list[str]) -> DataFrame:
     """Stream of batches: changes until ``seconds`` without one, per ``by``.
 
-    ``(started, ended, changed, deleted)``, each path once per kind. ``by`` is the
-    root, or the top folder where one root is too busy for one task. Rows later than
-    the watermark are dropped; the reconcile run finds what they told.
+    ``(started, ended, changed, deleted)``, each path once per kind. ``by`` names the
+    root, or also the top folder where one root is too busy for one task. Rows later
+    than the watermark are dropped; the reconcile run finds what they told, except
+    for edits.
     """
     window = F.session_window("ts", f"{seconds} seconds")
 
@@ -102,10 +103,10 @@ def debounce(changes: DataFrame, seconds: int = 2, by: list[str] | None = None)
 
     return (
         changes.withWatermark("ts", f"{seconds} seconds")
-        .groupBy(window.alias("window"), *(by or []))
+        .groupBy(window.alias("window"), *by)
         .agg(paths("changed").alias("changed"), paths("deleted").alias("deleted"))
         .select(
-            *(by or []),
+            *by,
             F.col("window.start").alias("started"),
             F.col("window.end").alias("ended"),
             "changed",
@@ -172,6 +173,7 @@ def follow_changes(
 ) -> StreamingQuery:
     """Run ``apply(batch, batch_id)`` for the debounced stream of raw changes.
 
+    The changes have a ``root`` column; a batch has ``(root, action, path)``.
     Spark may repeat a batch after a failure, so ``apply`` should write the snapshot
     of ``batch_id`` and overwrite an unfinished one.
     """
@@ -181,13 +183,14 @@ def follow_changes(
         rows = None
         for column, action in kinds:
             part = sessions.select(
-                F.lit(action).alias("action"), F.explode(column).alias("path")
+                "root", F.lit(action).alias("action"), F.explode(column).alias("path")
             ).distinct()
             rows = part if rows is None else rows.unionByName(part)
         if not rows.isEmpty():
             apply(rows, batch_id)
 
-    batches = debounce(normalize_changes(changes), settings.debounce_seconds)
+    events = normalize_changes(changes, ["root"])
+    batches = debounce(events, settings.debounce_seconds, ["root"])
     writer = batches.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(each)
     if available_now:

@@ -214,20 +214,22 @@ def test_stream_updates_catalog(spark, tmp_path):
     """Files of changes arrive; the debounced batches keep a catalog."""
     source = tmp_path / "changes"
     raw = [(at(0), "created", "a.txt", None), (at(1), "created", "b.txt", None), (at(1.5), "deleted", "a.txt", None), (at(60), "created", "late.txt", None)]
-    spark.createDataFrame(raw[:3], CHANGE).coalesce(1).write.parquet(str(source))
+    schema = CHANGE + ", root string"
+    raw = [(*r, "home") for r in raw]
+    spark.createDataFrame(raw[:3], schema).coalesce(1).write.parquet(str(source))
     applied = []
 
     def apply(batch, batch_id):
         applied.append(sorted((r.action, r.path) for r in batch.collect()))
 
     def run():
-        changes = spark.readStream.schema(CHANGE).parquet(str(source))
+        changes = spark.readStream.schema(schema).parquet(str(source))
         query = stream.follow_changes(changes, str(tmp_path / "check"), apply, available_now=True)
         query.awaitTermination(120)
         assert query.exception() is None
 
     run()
-    spark.createDataFrame(raw[3:], CHANGE).coalesce(1).write.mode("append").parquet(str(source))
+    spark.createDataFrame(raw[3:], schema).coalesce(1).write.mode("append").parquet(str(source))
     run()
     assert applied == [[("changed", "a.txt"), ("changed", "b.txt"), ("deleted", "a.txt")]]
 
