@@ -79,7 +79,7 @@ def _anchors(of, owner, lo, window):
 
 
 def _ask_anchors(window: int) -> Callable:
-    def pieces(table, _):
+    def pieces(table, *_):
         words, hashes, counts = _Words(table), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for lo, _hi, symbols, of, owner in words.runs():
             at, length = _anchors(of, owner, lo, window)
@@ -105,7 +105,7 @@ def _wide(symbols, starts, window):
 
 
 def _ask_windows(window: int) -> Callable:
-    def pieces(table, known):
+    def pieces(table, known, _):
         words, hashes, counts = _Words(table), [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
         for lo, _hi, symbols, of, owner in words.runs():
             starts = _candidates(lo, symbols, of, owner, window, known)
@@ -125,7 +125,7 @@ def kept_digest(text: bytes) -> str:
 
 
 def _removal(window: int, derive: Callable[[bytes], str]) -> Callable:
-    def result(table, known):
+    def result(table, known, _):
         words, out = _Words(table), []
         texts, digests = table.column("text"), table.column("digest").to_pylist()
         for lo, hi, symbols, of, owner in words.runs():
