@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from kinshelf.llm.chat import OP1_SQL, op1_prefix_target
+from kinshelf.llm.decontaminate import OP9_SQL, op9_containment
 from kinshelf.llm.difference_cover import OP4_SQL, op4_difference_cover
+from kinshelf.llm.pii import op10_anchors
+from kinshelf.llm.prefix_free import op3_prefix_free
+from kinshelf.llm.simhash import op6_simhash
 
 QUERIES = {
+    "op1_prefix_target": op1_prefix_target,
+    "op3_prefix_free": op3_prefix_free,
     "op4_difference_cover": op4_difference_cover,
+    "op6_simhash": op6_simhash,
+    "op9_containment": op9_containment,
+    "op10_anchors": op10_anchors,
 }
 
+#: The others are compared with brute force or measured on held-out rows in the tests.
 ORACLES = {
+    "op1_prefix_target": OP1_SQL,
     "op4_difference_cover": OP4_SQL,
+    "op9_containment": OP9_SQL,
 }
