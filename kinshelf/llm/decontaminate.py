@@ -134,18 +134,10 @@ def contained_items(
     """
     spark = docs.sparkSession
     kind = items.schema[item_id].dataType.simpleString()
-    sets = (
-        items.select(item_id, item_text)
-        .mapInArrow(_item_sets(item_id, item_text, size), f"{item_id} {kind}, n_shingles long, shingles binary")
-        .where("n_shingles > 0")
-    )
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    passes = max(1, math.ceil(total / ITEM_SHINGLES))
     schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, item long, n_shared long"
     out = None
-    for k in range(passes):
-        own = sets.where(F.pmod(F.xxhash64("shingles"), F.lit(passes)) == k).collect()
-        held = spark.sparkContext.broadcast([tuple(r) for r in own])
+    for own in _passes(items, item_id, item_text, size):
+        held = spark.sparkContext.broadcast(own)
         pairs = docs.select(doc_id, text).mapInArrow(_search(held, share, size, doc_id), schema)
         named = spark.createDataFrame(
             [(i, r[0], r[1]) for i, r in enumerate(own)], f"item long, {item_id} {kind}, n_shingles long"
@@ -157,22 +149,61 @@ def contained_items(
     return out
 
 
+def without_items(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", share: float = 0.8, size: int = 5
+) -> DataFrame:
+    """Those rows of ``docs`` that hold no item to ``share`` or more, found as ``contained_items`` does."""
+    spark = docs.sparkSession
+    named = items.select(F.monotonically_increasing_id().alias("_item"), F.col(item_text).alias("_item_text"))
+    for own in _passes(named, "_item", "_item_text", size):
+        docs = docs.where(~_holds(spark.sparkContext.broadcast(own), share, size)(F.col(text)))
+    return docs
+
+
+def _holds(held, share: float, size: int):
+    @F.arrow_udf("boolean")
+    def holds(column: pa.Array) -> pa.Array:
+        out = np.zeros(len(column), bool)
+        for row, _item, _shared in _hits(column, _Items(held.value, share), size):
+            out[row] = True
+        return pa.array(out)
+
+    return holds
+
+
+def _passes(items: DataFrame, item_id: str, item_text: str, size: int):
+    """Items with their shingles, in lists of bounded size; at least one list."""
+    kind = items.schema[item_id].dataType.simpleString()
+    sets = (
+        items.select(item_id, item_text)
+        .mapInArrow(_item_sets(item_id, item_text, size), f"{item_id} {kind}, n_shingles long, shingles binary")
+        .where("n_shingles > 0")
+    )
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    passes = max(1, math.ceil(total / ITEM_SHINGLES))
+    for k in range(passes):
+        own = sets.where(F.pmod(F.xxhash64("shingles"), F.lit(passes)) == k).collect()
+        yield [tuple(r) for r in own]
+
+
+def _hits(column: pa.Array, items: _Items, size: int):
+    """``(row, item, shared)`` of every item that a row of the column holds."""
+    for lo, cuts, hashes in shingle_runs(column, size):
+        lead = hashes(0)
+        hit = np.unique(np.searchsorted(cuts, np.flatnonzero(among(lead, items.keys)), "right") - 1)
+        second = hashes(1) if len(hit) else None
+        for r in hit.tolist():
+            for i, n in items.found(lead[cuts[r] : cuts[r + 1]], second[cuts[r] : cuts[r + 1]]):
+                yield lo + r, i, n
+
+
 def _search(held, share: float, size: int, doc_id: str):
     def each(batches):
         items = _Items(held.value, share)
         for batch in batches:
-            ids, rows, found, shared = batch.column(0), [], [], []
-            for lo, cuts, hashes in shingle_runs(batch.column(1), size):
-                lead = hashes(0)
-                hit = np.unique(np.searchsorted(cuts, np.flatnonzero(among(lead, items.keys)), "right") - 1)
-                second = hashes(1) if len(hit) else None
-                for r in hit.tolist():
-                    for i, n in items.found(lead[cuts[r] : cuts[r + 1]], second[cuts[r] : cuts[r + 1]]):
-                        rows.append(lo + r)
-                        found.append(i)
-                        shared.append(n)
+            found = np.array(list(_hits(batch.column(1), items, size)), np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), pa.array(found, pa.int64()), pa.array(shared, pa.int64())],
+                [batch.column(0).take(pa.array(found[:, 0])), pa.array(found[:, 1]), pa.array(found[:, 2])],
                 names=[doc_id, "item", "n_shared"],
             )
 
