@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinshelf.llm.repeats import Blocks, among, among_wide, digest_column
+from kinshelf.llm.repeats import Blocks, among, among_wide, digest_column, repeated
 from kinshelf.llm.textual import (
     NOT_BLANK,
     SALTS,
@@ -79,7 +79,7 @@ def _anchors(of, owner, lo, window):
 
 
 def _ask_anchors(window: int) -> Callable:
-    def pieces(table, *_):
+    def pieces(table, _):
         words, hashes, counts = _Words(table), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for lo, _hi, symbols, of, owner in words.runs():
             at, length = _anchors(of, owner, lo, window)
@@ -105,7 +105,7 @@ def _wide(symbols, starts, window):
 
 
 def _ask_windows(window: int) -> Callable:
-    def pieces(table, known, _):
+    def pieces(table, known):
         words, hashes, counts = _Words(table), [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
         for lo, _hi, symbols, of, owner in words.runs():
             starts = _candidates(lo, symbols, of, owner, window, known)
@@ -125,16 +125,16 @@ def kept_digest(text: bytes) -> str:
 
 
 def _removal(window: int, derive: Callable[[bytes], str]) -> Callable:
-    def result(table, known, _):
-        words, out = _Words(table), []
+    def result(_block, table, answers):
+        words, known, out = _Words(table), repeated(answers), []
         texts, digests = table.column("text"), table.column("digest").to_pylist()
         for lo, hi, symbols, of, owner in words.runs():
             starts = _starts(of, owner, lo, window)
             lead = span_hashes(symbols, starts, starts + window, SALTS[0])
-            repeated = among_wide(lambda at, s=symbols: _wide(s, at, window), starts, lead, known)
+            again = among_wide(lambda at, s=symbols: _wide(s, at, window), starts, lead, known)
             step = np.zeros(len(symbols) + 1, np.int64)
-            step[repeated] += 1
-            np.subtract.at(step, repeated + window, 1)
+            step[again] += 1
+            step[again + window] -= 1
             keep = np.cumsum(step)[:-1] == 0
             for i in range(lo, hi):
                 own = keep[of[i - lo] : of[i - lo + 1]]
@@ -165,7 +165,7 @@ def remove_repeated_windows(
     anchors = blocks.ask(_ask_anchors(window))
     windows = blocks.ask(_ask_windows(window), anchors, wide=True)
     schema = "digest binary, n_words long, n_removed long, kept string"
-    found = blocks.finish(_removal(window, derive), schema, windows).withColumnRenamed("digest", "_digest")
+    found = blocks.each(_removal(window, derive), schema, windows).withColumnRenamed("digest", "_digest")
     kept = docs.drop("n_words", "n_removed", "kept").withColumn("_digest", digest_column(text))
     return kept.join(found, "_digest").drop("_digest")
 

@@ -21,8 +21,8 @@ from kinshelf.llm.textual import joined, pack
 
 #: Bytes of text that a block and a partition have on average.
 BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 16 << 20
-ASK = "part int, block int, single binary, multi binary, note binary"
-ANSWER = "block int, repeated binary, note binary"
+ASK = "part int, block int, single binary, multi binary"
+ANSWER = "block int, repeated binary"
 
 
 def digest_column(text: str):
@@ -68,50 +68,41 @@ class Blocks:
             .repartition(self.partitions, "block")
         )
 
-    def ask(
-        self, pieces: Callable, answers: DataFrame | None = None, wide: bool = False, marked: bool = False
-    ) -> DataFrame:
+    def ask(self, pieces: Callable, answers: DataFrame | None = None, wide: bool = False) -> DataFrame:
         """Answers ``(block, repeated)``: those hashes of each block's pieces that occur again.
 
-        ``pieces(texts, answers, note)`` takes the texts of a block and the earlier
-        answers (None without) and returns hashes and how often each counts; with ``wide`` two columns of hashes,
-        both of which have to agree. A third value, bytes, is a note of the block to
-        itself, which comes back with the answers. With ``marked`` those hashes are
-        answered that any block counts twice, and not those that several blocks have once.
+        ``pieces(texts, answers)`` takes the texts of a block and the earlier answers
+        (None without) and returns hashes and how often each counts; with ``wide`` two
+        columns of hashes, both of which have to agree.
         """
         parts = self.partitions
-        asked = self._each(
-            lambda block, *known: _questions(block, parts, wide, marked, *pieces(*known)), ASK, answers
-        )
-        return (
-            asked.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _answers(t, wide, marked), ANSWER)
+        asked = self.each(
+            lambda block, texts, known: _questions(block, parts, wide, *pieces(texts, repeated(known))), ASK, answers
         )
+        return self.gather(asked, lambda t: _answers(t, wide), ANSWER)
 
-    def finish(self, result: Callable, schema: str, answers: DataFrame) -> DataFrame:
-        """``result(texts, answers, note)`` of every block."""
-        return self._each(lambda block, *known: result(*known), schema, answers)
+    def gather(self, asked: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+        """``answer`` of all rows with one ``part``."""
+        return asked.repartition(self.partitions, "part").groupBy("part").applyInArrow(answer, schema)
 
-    def _each(self, function, schema: str, answers: DataFrame | None) -> DataFrame:
+    def each(self, function: Callable, schema: str, answers: DataFrame | None = None) -> DataFrame:
+        """``function(block, texts, answers)`` of every block; answers are rows with its ``block`` or None."""
         if answers is None:
             return self.texts.groupBy("block").applyInArrow(
-                lambda t: function(t.column("block")[0].as_py(), merged(t), None, b""), schema
+                lambda t: function(t.column("block")[0].as_py(), merged(t), None), schema
             )
         dealt = answers.repartition(self.partitions, "block")
         return (
             self.texts.groupBy("block")
             .cogroup(dealt.groupBy("block"))
-            .applyInArrow(
-                lambda t, a: function(
-                    t.column("block")[0].as_py(),
-                    merged(t),
-                    joined(a.column("repeated").to_pylist()),
-                    b"".join(x for x in a.column("note").to_pylist() if x),
-                ),
-                schema,
-            )
+            .applyInArrow(lambda t, a: function(t.column("block")[0].as_py(), merged(t), a), schema)
         )
 
 
+def repeated(answers: pa.Table | None) -> np.ndarray | None:
+    return None if answers is None else joined(answers.column("repeated").to_pylist())
+
+
 def merged(table: pa.Table) -> pa.Table:
     """One row for each distinct text, in the order of digests, with all its copies counted."""
     counts: dict[bytes, int] = {}
@@ -124,9 +115,11 @@ def merged(table: pa.Table) -> pa.Table:
     return kept.append_column("n", pa.array([counts[k] for k in keys], pa.int64()))
 
 
-def _questions(
-    block: int, parts: int, wide: bool, marked: bool, hashes: np.ndarray, counts: np.ndarray, note: bytes = b""
-) -> pa.Table:
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+
+
+def _questions(block: int, parts: int, wide: bool, hashes: np.ndarray, counts: np.ndarray) -> pa.Table:
     if wide:
         order = np.lexsort((hashes[:, 1], hashes[:, 0]))
         hashes, counts = hashes[order], counts[order]
@@ -138,11 +131,10 @@ def _questions(
         new = np.ones(len(hashes), bool)
         new[1:] = hashes[1:] != hashes[:-1]
     at = np.flatnonzero(new)
-    gather = np.maximum if marked else np.add
-    multi = gather.reduceat(counts, at) > 1 if len(at) else np.zeros(0, bool)
+    multi = np.add.reduceat(counts, at) > 1 if len(at) else np.zeros(0, bool)
     hashes = hashes[at]
     lead = hashes[:, 0] if wide else hashes
-    part = ((lead >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)  # in the order of hashes
+    part = part_of(lead, parts)  # in the order of hashes
     cuts = np.searchsorted(part, np.arange(parts + 1))
     rows = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
     single, several = [], []
@@ -150,21 +142,17 @@ def _questions(
         own, many = hashes[cuts[p] : cuts[p + 1]], multi[cuts[p] : cuts[p + 1]]
         single.append(pack(own[~many]))
         several.append(pack(own[many]))
-    notes = [None] * len(rows)
-    if note:
-        rows, single, several, notes = [*rows, block % parts], [*single, b""], [*several, b""], [*notes, note]
     return pa.table(
         {
             "part": pa.array(rows, pa.int32()),
             "block": pa.array([block] * len(rows), pa.int32()),
             "single": pa.array(single, pa.binary()),
             "multi": pa.array(several, pa.binary()),
-            "note": pa.array(notes, pa.binary()),
         }
     )
 
 
-def _answers(table: pa.Table, wide: bool, marked: bool) -> pa.Table:
+def _answers(table: pa.Table, wide: bool) -> pa.Table:
     single, multi = table.column("single").to_pylist(), table.column("multi").to_pylist()
     width = 16 if wide else 8
     owner = np.repeat(np.arange(len(single)), [len(b) // width for b in single])
@@ -179,20 +167,18 @@ def _answers(table: pa.Table, wide: bool, marked: bool) -> pa.Table:
     else:
         order = np.argsort(both, kind="stable")
         same = both[order][1:] == both[order][:-1]
-    group = np.cumsum(np.append(True, ~same)[: len(order)]) - 1
-    members = np.bincount(group, certain[order]) > 0
-    if not marked:
-        members |= np.bincount(group) > 1
-    repeated = members[group]
+    again = certain[order].copy()
+    again[1:] |= same
+    again[:-1] |= same
     flags = np.empty(len(order), bool)
-    flags[order] = repeated
+    flags[order] = again
     blobs, blocks = [], []
     cuts = np.searchsorted(owner, np.arange(len(single) + 1))
     for i, block in enumerate(table.column("block").to_pylist()):
         mine = both[cuts[i] : cuts[i + 1]][flags[cuts[i] : cuts[i + 1]]]
         blocks.append(block)
         blobs.append(pack(mine) + (multi[i] or b""))
-    return pa.table({"block": pa.array(blocks, pa.int32()), "repeated": pa.array(blobs, pa.binary()), "note": table.column("note")})
+    return pa.table({"block": pa.array(blocks, pa.int32()), "repeated": pa.array(blobs, pa.binary())})
 
 
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
