@@ -92,7 +92,7 @@ class _Items:
         self.sets = [joined([r[2]]).reshape(-1, 2) for r in rows]
         sketches = [np.sort(s[:, 0])[: sketch_length(len(s), share)] for s in self.sets]
         keys = np.concatenate([*sketches, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+        owner = np.repeat(np.arange(len(sketches)), np.array([len(s) for s in sketches], np.int64))
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order]
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinshelf.llm.repeats import Blocks, among, among_wide, digest_column, repeated
+from kinshelf.llm.repeats import Blocks, among, among_wide, digest_column, free_name, repeated
 from kinshelf.llm.textual import (
     NOT_BLANK,
     SALTS,
@@ -165,9 +165,10 @@ def remove_repeated_windows(
     anchors = blocks.ask(_ask_anchors(window))
     windows = blocks.ask(_ask_windows(window), anchors, wide=True)
     schema = "digest binary, n_words long, n_removed long, kept string"
-    found = blocks.each(_removal(window, derive), schema, windows).withColumnRenamed("digest", "_digest")
-    kept = docs.drop("n_words", "n_removed", "kept").withColumn("_digest", digest_column(text))
-    return kept.join(found, "_digest").drop("_digest")
+    found = blocks.each(_removal(window, derive), schema, windows)
+    key = free_name(docs, "_digest")
+    kept = docs.withColumn(key, digest_column(text)).drop("n_words", "n_removed", "kept")
+    return kept.join(found.withColumnRenamed("digest", key), key).drop(key)
 
 
 def op4_difference_cover(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinshelf.llm.decontaminate import lowered
+from kinshelf.llm.repeats import free_name
 from kinshelf.llm.sampling import held_out, sample_by
 from kinshelf.llm.textual import RUN_BYTES, mask_of, mix, runs, text_buffers, word_hashes, word_spans
 
@@ -277,11 +278,10 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
             names, shares = model.predict(column)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["lang", "score"])
 
-    found = docs.drop("_language").withColumn("_language", predict(F.col(text)))
+    name = free_name(docs, "_language")
+    found = docs.withColumn(name, predict(F.col(text)))
     return (
-        found.withColumn("lang_pred", F.col("_language.lang"))
-        .withColumn("score", F.col("_language.score"))
-        .drop("_language")
+        found.withColumn("lang_pred", F.col(f"{name}.lang")).withColumn("score", F.col(f"{name}.score")).drop(name)
     )
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinshelf.llm.repeats import Blocks, among, digest_column, part_of, repeated
+from kinshelf.llm.repeats import Blocks, among, digest_column, free_name, part_of, repeated
 from kinshelf.llm.textual import SALTS, byte_symbols, joined, mix, pack, runs, span_hashes, text_buffers
 
 #: Bytes that the rolling hash sees, and bytes from one trigger to the next on average.
@@ -238,14 +238,16 @@ def remove_repeated_bytes(
     columns stay.
     """
     blocks = Blocks(docs, text)
-    parts = blocks.partitions
+    parts = blocks.parts
     asked = blocks.each(_ask_windows(window, parts), ASK, blocks.ask(_ask_phrases(window)))
     answers = blocks.gather(asked, _compare_windows(window), ANSWER)
     schema = f"digest binary, n_bytes long, n_removed long, n_spans long, kept {kept}"
     arrow = pa.binary() if kept == "binary" else pa.string()
-    found = blocks.each(_removal(window, parts, derive, arrow), schema, answers).withColumnRenamed("digest", "_digest")
-    plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept").withColumn("_digest", digest_column(text))
-    return plain.join(found, "_digest").drop("_digest")
+    found = blocks.each(_removal(window, parts, derive, arrow), schema, answers)
+    key = free_name(docs, "_digest")
+    # the text itself may be named like a result
+    plain = docs.withColumn(key, digest_column(text)).drop("n_bytes", "n_removed", "n_spans", "kept")
+    return plain.join(found.withColumnRenamed("digest", key), key).drop(key)
 
 
 def op3_prefix_free(spark, sf_dir: str) -> DataFrame:

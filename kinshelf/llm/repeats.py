@@ -25,6 +25,14 @@ ASK = "part int, block int, single binary, multi binary"
 ANSWER = "block int, repeated binary"
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` is called that."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def digest_column(text: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
@@ -62,6 +70,8 @@ class Blocks:
             int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PARTITION_BYTES)
         )
         self.blocks = max(1, math.ceil(size / BLOCK_BYTES))
+        #: Answers are worked out in more parts than there are partitions, which keeps one part small.
+        self.parts = 2 * self.partitions
         self.texts = (
             docs.select(F.col(text).alias("text"))
             .mapInArrow(_distinct_texts("text", self.blocks), "block int, digest binary, n long, text binary")
@@ -75,7 +85,7 @@ class Blocks:
         (None without) and returns hashes and how often each counts; with ``wide`` two
         columns of hashes, both of which have to agree.
         """
-        parts = self.partitions
+        parts = self.parts
         asked = self.each(
             lambda block, texts, known: _questions(block, parts, wide, *pieces(texts, repeated(known))), ASK, answers
         )

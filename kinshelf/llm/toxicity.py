@@ -224,7 +224,8 @@ def fit_toxicity(
     """A model from labelled rows that are not held out, about ``sample_rows`` of each label at most.
 
     Rows without a label or an id teach nothing; of several labels of one id the highest
-    counts. Without rows of both labels every score is 0 or 1, as the labels there are.
+    counts. Without rows of both labels
+    every score is close to the one label there is, or to 0.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
