@@ -157,7 +157,7 @@ spread AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY total DESC, term) AS r FROM spread),
 raw AS (
     SELECT family, grp, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w
-    FROM counts JOIN ranked USING (family, term) WHERE r <= 40 * n),
+    FROM counts JOIN ranked USING (family, term)),
 group_weights AS (
     SELECT family, grp, term, w / sqrt(sum(w * w) OVER (PARTITION BY family, grp)) AS w FROM raw)"""
 
@@ -173,6 +173,11 @@ boosted AS (
                 * CASE WHEN contains(term, ' ') THEN 1.3 ELSE 1 END END AS score
     FROM shares)"""
 
+# Compared terms only, as many as the query names.
+BOOSTED_FREQUENT = BOOSTED.replace(
+    "JOIN ranked USING (family, term))", "JOIN ranked USING (family, term) WHERE r <= 40 * n)"
+)
+
 ASSIGNED = FILES + """,
 assigned AS (
     SELECT doc_id, 'A/q' || quality || '/' || source AS folder
@@ -215,7 +220,7 @@ totals AS (
     FROM doc_tf GROUP BY cluster_id, term),
 weighed AS (
     SELECT cluster_id, doc_id, term, (1 + ln(tf)) * idf AS w
-    FROM doc_tf JOIN totals USING (cluster_id, term) WHERE r <= 20),
+    FROM doc_tf JOIN totals USING (cluster_id, term)),
 normed AS (
     SELECT cluster_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster_id, doc_id)) AS w
     FROM weighed),
@@ -236,7 +241,7 @@ ORACLES: dict[str, str] = {
     "fingerprint": "SELECT doc_id, sha256(text) AS checksum FROM documents",
     "describe_documents": f"""WITH {FILES}
         SELECT file_path, filename, file_size, modification_date, 'text' AS file_type,
-               sha256(text) AS checksum, nullif(substring(text, 1, 3000), '') AS content_summary
+               sha256(text) AS checksum
         FROM files""",
     "catalog_lookup": f"""WITH {CATALOG}
         SELECT file_path, filename, checksum, cluster_id, confidence_score
@@ -261,10 +266,10 @@ ORACLES: dict[str, str] = {
         SELECT file_path, checksum FROM catalog WHERE coalesce(toxic, 0) <> 1""",
     "assign_cluster": f"""WITH {CATALOG}
         SELECT file_path, filename,
-               CASE WHEN quality IS NULL THEN cluster_id WHEN toxic = 0 THEN 't' || quality END
-                   AS cluster_id,
-               CASE WHEN quality IS NULL THEN confidence_score ELSE (quality + 0.25)::DOUBLE END
-                   AS confidence_score
+               CASE WHEN quality IS NULL THEN cluster_id WHEN doc_id % 2 = 0 THEN 'z'
+                    WHEN toxic = 0 THEN 't' || quality END AS cluster_id,
+               CASE WHEN quality IS NULL THEN confidence_score WHEN doc_id % 2 = 0 THEN 0.125
+                    ELSE (quality + 0.25)::DOUBLE END AS confidence_score
         FROM catalog""",
     "propose_cluster": f"""WITH {CATALOG}
         SELECT file_path, cluster_id,
@@ -275,18 +280,27 @@ ORACLES: dict[str, str] = {
                CASE WHEN toxic = 1 THEN NULL ELSE proposed_cluster_id END AS proposed_cluster_id
         FROM catalog""",
     "rename_paths": f"""WITH {CATALOG}
-        SELECT CASE WHEN quality = 1 THEN 'renamed/' || filename ELSE file_path END AS file_path,
-               filename, checksum FROM catalog""",
+        , wanted AS (
+            SELECT file_path, CASE WHEN doc_id % 5 = 0 THEN 'src0/0.txt'
+                                   ELSE 'renamed/' || (doc_id // 2) || '.txt' END AS new_path
+            FROM labelled WHERE quality = 1),
+        done AS (
+            SELECT min(file_path) AS file_path, new_path FROM wanted
+            WHERE new_path NOT IN (SELECT file_path FROM catalog) GROUP BY new_path)
+        SELECT coalesce(new_path, file_path) AS file_path, filename, checksum
+        FROM catalog LEFT JOIN done USING (file_path)""",
     "rename_files": f"""WITH {CATALOG},
         wanted AS (
             SELECT file_path, source, filename,
                    CASE WHEN quality = 1 THEN doc_id + 20 WHEN toxic = 1 THEN doc_id
-                        ELSE doc_id + 10000000 END || '.txt' AS new_name
+                        ELSE doc_id % 60 + 10000000 END || '.txt' AS new_name
             FROM labelled),
         done AS (
-            SELECT file_path, new_name, source || '/' || new_name AS new_path FROM wanted
+            SELECT min(file_path) AS file_path, new_name, source || '/' || new_name AS new_path
+            FROM wanted
             WHERE new_name <> filename
-              AND source || '/' || new_name NOT IN (SELECT file_path FROM catalog))
+              AND source || '/' || new_name NOT IN (SELECT file_path FROM catalog)
+            GROUP BY source, new_name)
         SELECT coalesce(new_path, file_path) AS file_path, coalesce(new_name, filename) AS filename,
                checksum
         FROM catalog LEFT JOIN done USING (file_path)""",
@@ -372,7 +386,7 @@ ORACLES: dict[str, str] = {
     "tfidf_vectors": f"WITH {TOKENS}, {VECTORS} SELECT doc_id, term, round(w, 6) AS w FROM vectors",
     "group_tfidf": f"""WITH {FAMILY_WEIGHTS}
         SELECT family, grp, term, round(w, 6) AS w FROM group_weights""",
-    "df_boost": f"""WITH {BOOSTED}
+    "df_boost": f"""WITH {BOOSTED_FREQUENT}
         SELECT family, grp, term, round(score, 6) AS score FROM boosted""",
     "contrast_terms": f"""WITH {BOOSTED}
         SELECT family, grp, string_agg(term, ',' ORDER BY r) AS ranked
@@ -404,6 +418,11 @@ ORACLES: dict[str, str] = {
                round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "similarity_join": f"WITH {REP_PAIRS} SELECT src, dst, round(sim, 6) AS sim FROM pairs",
+    "similarity_join_blocked": f"WITH {REP_PAIRS} SELECT src, dst, round(sim, 6) AS sim FROM pairs",
+    "similarity_links_blocked": f"""WITH RECURSIVE {REP_PAIRS}, {_components("pairs", "comp")}
+        SELECT doc_id, grp FROM comp""",
+    "dense_pairs_blocked": f"""WITH {DENSE}
+        SELECT src, dst, round(sim, 6) AS sim FROM dense_pairs WHERE sim >= 0.35""",
     "similarity_join_dense": f"""WITH {DENSE}
         SELECT src, dst, round(sim, 6) AS sim FROM dense_pairs WHERE sim >= 0.35""",
     "document_groups": f"""WITH RECURSIVE {REP_PAIRS},
@@ -527,7 +546,7 @@ ORACLES: dict[str, str] = {
     "undo_plan": f"""WITH {OPERATIONS},
         newest AS (SELECT * FROM operations ORDER BY timestamp DESC, operation_id DESC LIMIT 120)
         SELECT operation_id, destination_path AS source_path,
-               regexp_extract(source_path, '^[^/]*') || '/'
+               CASE WHEN user_id % 3 = 0 THEN '' ELSE regexp_extract(source_path, '^[^/]*') || '/' END
                || regexp_extract(destination_path, '[^/]*$') AS destination_path
         FROM newest
         WHERE operation_type = 'move' AND success AND source_path IS NOT NULL

@@ -13,8 +13,9 @@ from kinshelf.functions.paths import clean_folder_name, is_excluded, is_supporte
 from kinshelf.functions.text import drop_parent_words, label_from_keywords, naming_tokens, terms_1_2
 from kinshelf.functions.vectors import cosine_similarity
 from kinshelf.operators import catalog, clustering, delta, features, moves, naming, views
+from kinshelf.operators.components import connected_components
 from kinshelf.operators.dense import dense_pairs
-from kinshelf.operators.similarity import sparse_pairs
+from kinshelf.operators.similarity import sparse_links, sparse_pairs
 from kinshelf.operators.spaces import DenseSpace, SparseSpace
 from kinshelf.plans import organize
 from kinshelf.session import cut_lineage, fresh_path
@@ -41,7 +42,7 @@ def fingerprint(t: Tables) -> DataFrame:
 
 @query
 def describe_documents(t: Tables) -> DataFrame:
-    return corpus.describe_documents(t.files).drop("text", "creation_date")
+    return corpus.describe_documents(t.files).drop("text", "creation_date", "content_summary")
 
 
 @query
@@ -127,6 +128,11 @@ def assign_cluster(t: Tables) -> DataFrame:
         F.when(F.col("toxic") == 0, F.concat(F.lit("t"), "quality")).alias("cluster_id"),
         (F.col("quality") + 0.25).cast("double").alias("confidence_score"),
     )
+    # half of the rows are assigned twice, and the larger assignment counts
+    again = t.labelled.where("doc_id % 2 = 0").select(
+        "file_path", F.lit("z").alias("cluster_id"), F.lit(0.125).alias("confidence_score")
+    )
+    assigned = assigned.unionByName(again)
     rows = t.catalog.select("file_path", "filename", "cluster_id", "confidence_score")
     return catalog.assign_cluster(rows, assigned)
 
@@ -153,16 +159,21 @@ def deny_folder(t: Tables) -> DataFrame:
 
 @query
 def rename_paths(t: Tables) -> DataFrame:
+    # by twos to one path; some to a path that is there
     renames = t.labelled.where("quality = 1").select(
-        "file_path", F.concat(F.lit("renamed/"), "filename").alias("new_path")
+        "file_path",
+        F.when(F.col("doc_id") % 5 == 0, F.lit("src0/0.txt"))
+        .otherwise(F.concat(F.lit("renamed/"), F.floor(F.col("doc_id") / 2), F.lit(".txt")))
+        .alias("new_path"),
     )
     return catalog.rename_paths(t.catalog.select("file_path", "filename", "checksum"), renames)
 
 
 @query
 def rename_files(t: Tables) -> DataFrame:
+    # some to a name that is there, some to their own, and the others race for a few names
     stem = F.when(F.col("quality") == 1, F.col("doc_id") + 20).otherwise(
-        F.when(F.col("toxic") == 1, F.col("doc_id")).otherwise(F.col("doc_id") + 10_000_000)
+        F.when(F.col("toxic") == 1, F.col("doc_id")).otherwise(F.col("doc_id") % 60 + 10_000_000)
     )
     renames = t.labelled.select("file_path", F.concat(stem, F.lit(".txt")).alias("new_name"))
     return catalog.rename_files(t.catalog.select("file_path", "filename", "checksum"), renames)
@@ -376,7 +387,8 @@ def group_tfidf(t: Tables) -> DataFrame:
 @query
 def df_boost(t: Tables) -> DataFrame:
     tokens, members = cut_lineage(_tokens(t)), _families(t)
-    weights = cut_lineage(naming.group_tfidf(tokens, members))
+    # the reference's own bound on compared terms, as a parameter
+    weights = cut_lineage(naming.group_tfidf(tokens, members, most_frequent=40))
     shares = naming.term_shares(tokens, members, weights)
     scores = naming.boosted_terms(weights, shares, members)
     return scores.withColumn("score", F.round("score", 6))
@@ -458,6 +470,29 @@ def similarity_join(t: Tables) -> DataFrame:
     return sparse_pairs(space.vectors, 0.55).withColumn("sim", F.round("sim", 6))
 
 
+@query
+def similarity_join_blocked(t: Tables) -> DataFrame:
+    """The same pairs with entry lists cut into many blocks."""
+    _, space = _folded(t)
+    return sparse_pairs(space.vectors, 0.55, block=16).withColumn("sim", F.round("sim", 6))
+
+
+@query
+def similarity_links_blocked(t: Tables) -> DataFrame:
+    """Links among crowded entry lists connect what all pairs connect."""
+    _, space = _folded(t)
+    return connected_components(sparse_links(space.vectors, 0.55, 0.9, block=16)).select(
+        "doc_id", F.col("component").alias("grp")
+    )
+
+
+@query
+def dense_pairs_blocked(t: Tables) -> DataFrame:
+    """The same pairs with many blocks and pivots."""
+    pairs = dense_pairs(t.vectors.select("doc_id", "embedding"), 0.35, block=64)
+    return pairs.withColumn("sim", F.round("sim", 6))
+
+
 @query
 def similarity_join_dense(t: Tables) -> DataFrame:
     pairs = dense_pairs(t.vectors.select("doc_id", "embedding"), 0.35)
@@ -661,7 +696,10 @@ def recent_operations(t: Tables) -> DataFrame:
 def undo_plan(t: Tables) -> DataFrame:
     existing = t.operations.where("value > 8").select(F.col("destination_path").alias("file_path"))
     folders = t.operations.select(F.concat(F.lit("user"), "user_id").alias("folder")).distinct()
-    return moves.undo_plan(t.operations, existing, folders, 40)
+    # a third of the moves come from the root
+    source = F.when(F.col("user_id") % 3 == 0, F.concat("operation_id", F.lit(".txt")))
+    from_root = F.when(F.col("source_path").isNotNull(), F.coalesce(source, "source_path"))
+    return moves.undo_plan(t.operations.withColumn("source_path", from_root), existing, folders, 40)
 
 
 # --- Change stream --------------------------------------------------------------------

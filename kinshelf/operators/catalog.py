@@ -42,9 +42,19 @@ def clear(base: DataFrame) -> DataFrame:
     return base.limit(0)
 
 
+def _one_per_key(changes: DataFrame, key: str) -> DataFrame:
+    """One row per key; of several the largest, column by column, so that repeats never multiply rows."""
+    rest = [c for c in changes.columns if c != key]
+    return changes.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+
+
 def _update(files: DataFrame, changes: DataFrame, new_values: dict[str, Column]) -> DataFrame:
-    """Set columns on the rows ``changes`` names; other rows keep their values."""
-    marked = changes.withColumn("_hit", F.lit(True))
+    """Set columns on the rows ``changes`` names; other rows keep their values.
+
+    Of several changes to one row the largest counts.
+    """
+    named = [c for c in changes.columns if c == "file_path" or c in new_values]
+    marked = _one_per_key(changes.select(named), "file_path").withColumn("_hit", F.lit(True))
     joined = files.alias("f").join(marked.alias("c"), "file_path", "left")
     return joined.select(
         *[
@@ -86,23 +96,40 @@ def deny_folder(files: DataFrame, denied: DataFrame) -> DataFrame:
 
 
 def rename_paths(files: DataFrame, renames: DataFrame) -> DataFrame:
-    """Change keys by ``renames(file_path, new_path)``; the filename stays as it is."""
+    """Change keys by ``renames(file_path, new_path)``; the filename stays as it is.
+
+    A rename to a path the catalog already holds is not done, and of several to one
+    new path the first by its present path is. Of several renames of one path the
+    largest new path counts.
+    """
+    wanted = _one_per_key(renames.select("file_path", "new_path"), "file_path")
+    done = _granted(files, wanted.join(files.select("file_path"), "file_path", "left_semi"))
     return (
-        files.join(renames, "file_path", "left")
+        files.join(done, "file_path", "left")
         .withColumn("file_path", F.coalesce("new_path", "file_path"))
         .select(files.columns)
     )
 
 
+def _granted(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of ``wanted(file_path, new_path, ...)`` whose new path is free, the first of each."""
+    taken = files.select(F.col("file_path").alias("new_path"))
+    free = wanted.where(F.col("new_path").isNotNull()).join(taken, "new_path", "left_anti")
+    rest = [c for c in wanted.columns if c not in ("file_path", "new_path")]
+    first = F.min(F.struct("file_path", *rest)).alias("_row")
+    return free.groupBy("new_path").agg(first).select("new_path", "_row.*")
+
+
 def rename_files(files: DataFrame, renames: DataFrame) -> DataFrame:
     """Give documents a new filename inside their folder.
 
     ``renames(file_path, new_name)``. A rename to the present name, or to a path
-    the catalog already holds, is not done.
+    the catalog already holds, is not done; of several documents that want one path
+    the first by path gets it.
     """
     wanted = (
         files.select("file_path", "filename")
-        .join(renames, "file_path")
+        .join(_one_per_key(renames.select("file_path", "new_name"), "file_path"), "file_path")
         .where(F.col("new_name") != F.col("filename"))
         .select(
             "file_path",
@@ -110,8 +137,7 @@ def rename_files(files: DataFrame, renames: DataFrame) -> DataFrame:
             child_path(parent_folder(F.col("file_path")), F.col("new_name")).alias("new_path"),
         )
     )
-    taken = files.select(F.col("file_path").alias("new_path"))
-    done = wanted.join(taken, "new_path", "left_anti")
+    done = _granted(files, wanted)
     return (
         files.join(done, "file_path", "left")
         .withColumn("file_path", F.coalesce("new_path", "file_path"))

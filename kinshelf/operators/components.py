@@ -39,14 +39,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        nearest = both.groupBy("u").agg(F.min("v").alias("m"))
+        # written first: a node with very many neighbours can then be split in the join
+        nearest = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")))
         large = (
             both.join(nearest, "u")
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))
             .distinct()
         )
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = cut_lineage(large)
+        lowest = cut_lineage(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = (
             large.join(lowest, "hi")
             .select(F.explode(F.array(F.struct("lo", "m"), F.struct(F.col("hi").alias("lo"), "m"))).alias("e"))

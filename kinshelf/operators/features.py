@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinshelf.functions.fixed_values import NAMING_IGNORE
 from kinshelf.functions.paths import name_stem
 from kinshelf.functions.text import ASCII_WORD, naming_tokens
-from kinshelf.session import spread
+from kinshelf.session import cut_lineage, spread
 
 
 def document_tokens(
@@ -51,7 +51,16 @@ def fold_copies(tokens: DataFrame) -> DataFrame:
             F.size("tokens") > 0, F.sha2(F.concat_ws(" ", F.array_sort("tokens")), 256)
         ).alias("bag"),
     )
-    reps = (
+    return _represented(bags)
+
+
+def _represented(bags: DataFrame) -> DataFrame:
+    """``(doc_id, rep, n)`` from ``(doc_id, bag)``; a NULL bag is like no other.
+
+    The aggregate is a table of its own, so that both sides of the join are plain
+    shuffles and Spark can split a bag that very many documents have.
+    """
+    reps = cut_lineage(
         bags.where(F.col("bag").isNotNull())
         .groupBy("bag")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -71,16 +80,7 @@ def fold_equal_vectors(vectors: DataFrame) -> DataFrame:
             F.exists("embedding", lambda x: x != 0), F.sha2(F.array_join("embedding", " "), 256)
         ).alias("bag"),
     )
-    reps = (
-        bags.where(F.col("bag").isNotNull())
-        .groupBy("bag")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    )
-    return bags.join(reps, "bag", "left").select(
-        "doc_id",
-        F.coalesce("rep", "doc_id").alias("rep"),
-        F.coalesce("n", F.lit(1)).alias("n"),
-    )
+    return _represented(bags)
 
 
 def representatives(copies: DataFrame) -> DataFrame:
@@ -101,12 +101,15 @@ def tfidf_vectors(tokens: DataFrame, copies: DataFrame | None = None) -> DataFra
         weighted = tokens.select("doc_id", "tokens").join(representatives(copies), "doc_id")
     counts = (
         weighted.select("doc_id", "n", F.explode("tokens").alias("term"))
-        .groupBy("doc_id", "n", "term")
+        .groupBy("doc_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     total = tokens.agg(F.count(F.lit(1))).scalar()
-    idf = (
-        counts.groupBy("term")
+    # from the documents, not from the counts, and as a table of its own: the join then
+    # has two plain shuffles, and Spark can split a term that is everywhere
+    idf = cut_lineage(
+        weighted.select("n", F.explode(F.array_distinct("tokens")).alias("term"))
+        .groupBy("term")
         .agg(F.sum("n").alias("df"))
         .select("term", (F.ln((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
     )

@@ -47,13 +47,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share out an input with fewer splits than there are cores.
+    """Share out a scan of fewer files than there are cores.
 
-    Meant for a plain scan. A large collection has more splits than cores and is
-    left as it is.
+    A large collection has more files than cores and is left as it is, and so is
+    anything that is no file scan. Nothing runs to find out.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def number_rows(

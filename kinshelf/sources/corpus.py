@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinshelf.functions.paths import file_name, file_type, has_hidden_part, is_supported
 
@@ -44,14 +45,17 @@ def fingerprint(content: Column) -> Column:
 
 
 def describe_documents(
-    docs: DataFrame, content: str = "text", summary_chars: int = 3000
+    docs: DataFrame, content: str = "text", summary_chars: int | None = None
 ) -> DataFrame:
     """Catalog rows for ``docs(file_path, file_size, modification_date, <content>)``.
 
-    The summary is a field for display. Whatever analyses a document reads all of
-    its text.
+    Bytes are decoded. The summary is a field for display, NULL unless
+    ``summary_chars`` asks for so many characters; whatever analyses a document reads
+    all of its text.
     """
-    text = decode_text(F.col(content)) if content == "content" else F.col(content)
+    binary = docs.schema[content].dataType == T.BinaryType()
+    text = decode_text(F.col(content)) if binary else F.col(content)
+    summary = F.substring(text, 1, summary_chars) if summary_chars else F.lit(None).cast("string")
     return docs.select(
         "file_path",
         file_name(F.col("file_path")).alias("filename"),
@@ -60,6 +64,6 @@ def describe_documents(
         "modification_date",
         file_type(F.col("file_path")).alias("file_type"),
         fingerprint(F.col(content)).alias("checksum"),
-        F.nullif(F.substring(text, 1, summary_chars), F.lit("")).alias("content_summary"),
+        F.nullif(summary, F.lit("")).alias("content_summary"),
         text.alias("text"),
     )
