@@ -17,6 +17,7 @@ from kinshelf.operators.components import connected_components
 from kinshelf.operators.dense import dense_pairs
 from kinshelf.operators.similarity import sparse_links, sparse_pairs
 from kinshelf.operators.spaces import DenseSpace, SparseSpace
+from kinshelf.plans import full_run as full
 from kinshelf.plans import organize
 from kinshelf.session import cut_lineage, fresh_path
 from kinshelf.sources import catalog_io, corpus
@@ -579,6 +580,30 @@ def recluster(t: Tables) -> DataFrame:
     )
 
 
+@query
+def full_run(t: Tables) -> DataFrame:
+    """The whole job over all documents: a third are known and unchanged, others edited or new."""
+    described = t.files.withColumn("file_type", F.lit("text")).withColumn("checksum", F.sha2("text", 256))
+    described = described.select(
+        "file_path", "filename", "file_size", F.col("modification_date").cast("timestamp").alias("modification_date"),
+        "file_type", "checksum", "text",
+    )
+    known = described.drop("text").withColumn(
+        "embedding", F.when(F.crc32("file_path") % 3 == 0, F.array_repeat(F.lit(0.0625).cast("float"), 256))
+    )
+    gone = known.limit(1).withColumn("file_path", F.lit("gone/1.txt"))
+    run = full.organize(known.unionByName(gone), described)
+    run.publish(catalog := fresh_path(t.spark, "catalog"), 1)
+    version = catalog_io.latest_version(t.spark, catalog)
+    written = catalog_io.read_version(t.spark, catalog, "files", version)
+    shelves = catalog_io.read_version(t.spark, catalog, "clusters", version)
+    return (
+        written.join(shelves.select("cluster_id", "folder_path"), "cluster_id", "left")
+        .groupBy("folder_path")
+        .agg(F.count(F.lit(1)).alias("files"), F.count("embedding").alias("vectors"))
+    )
+
+
 # --- Re-clustering delta --------------------------------------------------------------
 
 

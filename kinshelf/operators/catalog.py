@@ -196,8 +196,8 @@ def incremental_analyze(files: DataFrame, described: DataFrame) -> tuple[DataFra
     """Split scanned documents into catalog rows to reuse and documents to analyse.
 
     A row is reused when its checksum is unchanged and it has a vector. The rest
-    come back as described, with the cluster link the catalog has for them; their
-    vectors are still to be made.
+    come back as described, with the cluster link and the denied folder the catalog has
+    for them; their vectors are still to be made.
     """
     cached = files.select(
         "file_path",
@@ -205,6 +205,7 @@ def incremental_analyze(files: DataFrame, described: DataFrame) -> tuple[DataFra
         F.col("embedding").isNotNull().alias("_has_vector"),
         F.col("cluster_id"),
         F.coalesce("confidence_score", F.lit(0.0)).alias("confidence_score"),
+        *[c for c in ("denied_folder_path",) if c in files.columns],  # a denial outlives an edit
     )
     fits = F.coalesce((F.col("_checksum") == F.col("checksum")) & F.col("_has_vector"), F.lit(False))
     reused = files.join(described.select("file_path", "checksum"), ["file_path", "checksum"], "left_semi")
