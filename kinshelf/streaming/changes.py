@@ -170,12 +170,21 @@ def follow_changes(
     apply: Callable[[DataFrame, int], None],
     settings: Settings = Settings(),
     available_now: bool = False,
+    heartbeat: bool = False,
+    own_paths: DataFrame | None = None,
+    pauses: DataFrame | None = None,
+    syncs: DataFrame | None = None,
 ) -> StreamingQuery:
     """Run ``apply(batch, batch_id)`` for the debounced stream of raw changes.
 
     The changes have a ``root`` column; a batch has ``(root, action, path)``.
     Spark may repeat a batch after a failure, so ``apply`` should write the snapshot
     of ``batch_id`` and overwrite an unfinished one.
+
+    Changes of ``own_paths(path)``, within ``pauses(start, end)`` or shortly after
+    ``syncs(sync_ts)`` are left out. A burst ends when a later event says that time has
+    passed. With ``heartbeat`` a clock does, once a second, so that the last burst is
+    applied after its quiet time as well; the times of changes have to be the clock's.
     """
 
     def each(sessions: DataFrame, batch_id: int) -> None:
@@ -186,10 +195,24 @@ def follow_changes(
                 "root", F.lit(action).alias("action"), F.explode(column).alias("path")
             ).distinct()
             rows = part if rows is None else rows.unionByName(part)
-        if not rows.isEmpty():
-            apply(rows, batch_id)
-
+        rows = rows.persist()  # else the state is run through once for every use
+        try:
+            if not rows.isEmpty():
+                apply(rows, batch_id)
+        finally:
+            rows.unpersist()
+
+    if own_paths is not None:
+        changes = suppress_own_changes(changes, own_paths)
+    if pauses is not None:
+        changes = while_running(changes, pauses)
+    if syncs is not None:
+        changes = cooldown(changes, syncs, settings.sync_cooldown_seconds)
     events = normalize_changes(changes, ["root"])
+    if heartbeat:
+        clock = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+        beats = clock.select(F.col("timestamp").alias("ts"), F.lit("beat").alias("action"))
+        events = events.unionByName(beats, allowMissingColumns=True)
     batches = debounce(events, settings.debounce_seconds, ["root"])
     writer = batches.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(each)

@@ -237,3 +237,28 @@ def test_stream_updates_catalog(spark, tmp_path):
     batch = spark.createDataFrame(applied[0], "action string, path string")
     after = stream.apply_changes(files, batch, lambda p: p.select("file_path", F.lit("1").alias("checksum"), F.array(F.lit(2.0).cast("float")).alias("embedding")))
     assert [(r.file_path, r.checksum) for r in after.collect()] == [("b.txt", "1")]
+
+
+def test_last_burst_is_applied_after_its_quiet_time(spark, tmp_path):
+    """No later change comes; the clock alone ends the burst. A paused time is left out."""
+    import time
+
+    now = datetime.now()
+    rows = [(now, "created", "a.txt", None, "r"), (now - timedelta(hours=2), "created", "b.txt", None, "r")]
+    schema = "ts timestamp, kind string, path string, dest_path string, root string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    pauses = spark.createDataFrame([(now - timedelta(hours=3), now - timedelta(hours=1))], "start timestamp, end timestamp")
+    changes = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    applied = []
+    query = stream.follow_changes(
+        changes, str(tmp_path / "state"), lambda batch, _: applied.extend(batch.collect()),
+        Settings(debounce_seconds=1), heartbeat=True, pauses=pauses,
+    )
+    try:
+        until = time.time() + 90
+        while not applied and time.time() < until:
+            assert query.isActive, query.exception()
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert [(r.root, r.action, r.path) for r in applied] == [("r", "changed", "a.txt")]
