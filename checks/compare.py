@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -13,6 +14,7 @@ from pyspark.sql import SparkSession
 
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
+from kinshelf.session import removing_steps
 
 TABLES = """region nation customer supplier part orders lineitem events documents embeddings pages
 benchmark labels conversations""".split()
@@ -24,6 +26,7 @@ def local_session(cores: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -50,7 +53,8 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
 
 def compare(spark: SparkSession, folder: str, name: str) -> tuple[bool, str]:
     started = time.time()
-    frame = QUERIES[name](spark, folder).toPandas()
+    with removing_steps(spark):
+        frame = QUERIES[name](spark, folder).toPandas()
     spark_time = time.time() - started
     if name not in ORACLES:
         return True, f"{len(frame)} rows, {spark_time:.1f} s, no SQL"

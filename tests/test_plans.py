@@ -262,3 +262,19 @@ def test_last_burst_is_applied_after_its_quiet_time(spark, tmp_path):
     finally:
         query.stop()
     assert [(r.root, r.action, r.path) for r in applied] == [("r", "changed", "a.txt")]
+
+
+def test_steps_are_removed(spark):
+    import os
+
+    from kinshelf.session import cut_lineage, fresh_path, removing_steps
+
+    with removing_steps(spark):
+        kept = fresh_path(spark, "written")
+        inner = cut_lineage(spark.range(3))
+        assert inner.count() == 3
+        path = inner.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path) and not os.path.exists(kept)
+    outside = cut_lineage(spark.range(3))
+    assert outside.count() == 3
