@@ -406,11 +406,12 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS k
               FROM documents)""",
     "parent_words_dropped": f"""WITH {TOKENS}, parts AS (
-            SELECT doc_id, words[1:3] AS name, words[2:3] AS parent FROM tokens),
+            SELECT doc_id, ws AS name, [w FOR w IN ws IF len(w) % 2 = 0] AS parent
+            FROM (SELECT doc_id, list_sort(list_distinct(words)) AS ws FROM tokens)),
         rest AS (
             SELECT *, [w FOR w IN name IF NOT list_contains(parent, w)] AS kept FROM parts)
-        SELECT doc_id, array_to_string(
-            [upper(w[1]) || w[2:] FOR w IN CASE WHEN len(kept) = 0 THEN name ELSE kept END], '_')
+        SELECT doc_id, sha256(array_to_string(
+            [upper(w[1]) || w[2:] FOR w IN CASE WHEN len(kept) = 0 THEN name ELSE kept END], '_'))
             AS name
         FROM rest""",
     "cosine_similarities": """

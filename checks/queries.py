@@ -442,10 +442,12 @@ def unique_sibling_labels(t: Tables) -> DataFrame:
 
 @query
 def parent_words_dropped(t: Tables) -> DataFrame:
-    words = naming_tokens(F.col("text"))
-    name = F.array_join(F.transform(F.slice(words, 1, 3), F.initcap), "_")
-    parent = F.array_join(F.transform(F.slice(words, 2, 2), F.initcap), "/")
-    return t.documents.select("doc_id", drop_parent_words(name, parent).alias("name"))
+    """All words of a text are its name, those with an even number of letters its parents."""
+    words = F.array_sort(F.array_distinct(naming_tokens(F.col("text"))))
+    name = F.array_join(F.transform(words, F.initcap), "_")
+    parents = F.filter(words, lambda w: F.length(w) % 2 == 0)
+    parent = F.array_join(F.transform(parents, F.initcap), "/")
+    return t.documents.select("doc_id", F.sha2(drop_parent_words(name, parent), 256).alias("name"))
 
 
 # --- Similarity and clustering --------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,11 +14,13 @@ from kinshelf.functions.paths import file_name, file_type, has_hidden_part, is_s
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Supported, visible files below ``root`` with their bytes.
 
-    The file listing is Spark's: it leaves out hidden names by itself and also
-    names that start with "_". Paths come back relative to ``root``. Select away
-    ``content`` and Spark reads the listing only.
+    Spark's file source passes over empty files and over names that start with "_";
+    these are listed as well, so that nobody takes them for gone: empty ones with no
+    bytes, the others with NULL content. Paths come back relative to ``root``. Select
+    away ``content`` and Spark reads the listing only.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = files.unionByName(_passed_over(spark, root).select(*files.columns))
     base = F.lit(root.rstrip("/") + "/")
     bare = F.regexp_replace("path", "^file:/*", "/")
     relative = F.when(bare.startswith(base), F.expr("substr(_bare, length(_base) + 1)"))
@@ -34,6 +38,26 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _passed_over(spark: SparkSession, root: str) -> DataFrame:
+    """Empty files and those with a part that starts with "_", in the columns of Spark's file source.
+
+    The listing is made on the driver, as Spark makes its own.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(top).toString().rstrip("/") + "/"
+    files, rows = system.listFiles(top, True), []
+    while files.hasNext():
+        one = files.next()
+        path, size = one.getPath().toString(), one.getLen()
+        if size == 0 or any(p.startswith("_") for p in path.removeprefix(base).split("/")):
+            changed = datetime.fromtimestamp(one.getModificationTime() / 1000, timezone.utc)
+            rows.append((path, changed, size, None if size else b""))
+    return spark.createDataFrame(
+        rows, "path string, modificationTime timestamp, length long, content binary"
+    )
+
+
 def decode_text(content: Column) -> Column:
     """UTF-8 bytes as text; byte sequences that are no UTF-8 become U+FFFD."""
     return F.make_valid_utf8(content.cast("string"))

@@ -278,3 +278,20 @@ def test_steps_are_removed(spark):
     assert not os.path.exists(path) and not os.path.exists(kept)
     outside = cut_lineage(spark.range(3))
     assert outside.count() == 3
+
+
+def test_scan_lists_empty_and_underscore_files(spark, tmp_path):
+    root = tmp_path / "root"
+    (root / "_sub").mkdir(parents=True)
+    for name, text in {"a.txt": "x", "empty.txt": "", "_note.txt": "y", "_sub/b.md": "z", ".hidden.txt": "h", "c.exe": ""}.items():
+        (root / name).write_text(text)
+    found = corpus.scan_corpus(spark, str(root))
+    rows = {r.file_path: r for r in found.collect()}
+    assert set(rows) == {"a.txt", "empty.txt", "_note.txt", "_sub/b.md"} and found.count() == 4
+    assert bytes(rows["empty.txt"].content) == b"" and rows["_note.txt"].content is None
+    assert bytes(rows["a.txt"].content) == b"x" and rows["_sub/b.md"].file_size == 1
+
+    # a reconcile run keeps their rows
+    names = spark.createDataFrame([(n,) for n in rows], "file_path string")
+    files = catalog_io.complete_columns(names, catalog_io.FILES_SCHEMA)
+    assert stream.reconcile(files, found, lambda paths: None) is None
