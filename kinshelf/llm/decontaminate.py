@@ -35,6 +35,8 @@ from kinshelf.llm.textual import (
 
 #: Item shingles that are sent to the tasks at once (16 bytes each); more take further passes.
 ITEM_SHINGLES = 1 << 20
+#: Rows whose texts are prepared at once.
+ROWS = 2000
 _WORD = mask_of((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 
@@ -50,6 +52,11 @@ def shingle_runs(column: pa.Array, size: int):
     Words are stretches of letters and digits. A text with fewer words than ``size`` is
     one shingle, one without any has none.
     """
+    for at in range(0, len(column), ROWS):
+        yield from _shingle_runs(column.slice(at, ROWS), size, at)
+
+
+def _shingle_runs(column: pa.Array, size: int, before: int):
     data, starts = text_buffers(lowered(column))
     for lo, hi in runs(starts):
         own = data[starts[lo] : starts[hi]]
@@ -61,7 +68,7 @@ def shingle_runs(column: pa.Array, size: int):
         row = np.repeat(np.arange(hi - lo), counts)
         begin = np.arange(cuts[-1]) - cuts[row] + of[row]
         end = np.minimum(begin + size, of[row + 1])
-        yield lo, cuts, lambda k, s=symbols, b=begin, e=end: span_hashes(s, b, e, SALTS[k])
+        yield lo + before, cuts, lambda k, s=symbols, b=begin, e=end: span_hashes(s, b, e, SALTS[k])
 
 
 def _item_sets(item_id: str, text: str, size: int):

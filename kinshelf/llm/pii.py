@@ -161,20 +161,33 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _cut(text: str, spans: list[tuple[str, int, int]]) -> str:
+    at, parts = 0, []
+    for kind, start, end in spans:
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+            at = end
+    return "".join([*parts, text[at:]]) if parts else text
+
+
+def without_personal_data(text: Column) -> Column:
+    """The text with every span that ``with_spans`` finds replaced by its kind in brackets, in one pass."""
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else _cut(t, spans_of(t)) for t in texts.to_pylist()], pa.string())
+
+    return cut(text)
+
+
 def redacted(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; of overlapping ones the first."""
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, own in zip(texts.to_pylist(), found.to_pylist()):
-            at, parts = 0, []
-            for s in own or ():
-                if s["start"] >= at:
-                    parts += [t[at : s["start"]], f"[{s['kind'].upper()}]"]
-                    at = s["end"]
-            out.append("".join([*parts, t[at:]]) if parts else t)
-        return pa.array(out, pa.string())
+        pairs = zip(texts.to_pylist(), found.to_pylist())
+        cut_ = [t and _cut(t, [(s["kind"], s["start"], s["end"]) for s in own or ()]) for t, own in pairs]
+        return pa.array(cut_, pa.string())
 
     return docs.withColumn(text, cut(F.col(text), F.col(spans)))
 

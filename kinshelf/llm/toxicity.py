@@ -32,6 +32,8 @@ SECOND_PERSON = frozenset(
 )
 #: Learned from at most about so many rows of each label, and this many lexicon entries.
 SAMPLE_ROWS, LEXICON = 10_000, 3_000
+#: Rows that are scored at once.
+ROWS = 500
 #: Word beginnings of these lengths are lexicon candidates, and a hit counts as near within so many words.
 BEGINNINGS, NEAR = (4, 5, 6), 5
 _WORDS = re.compile(r"[^\W_]+")
@@ -264,7 +266,8 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(model.scores(column.to_pylist()), pa.float64())
+        parts = [model.scores(column.slice(k, ROWS).to_pylist()) for k in range(0, len(column), ROWS)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     scored = docs.withColumn("score", score(F.col(text)))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
