@@ -192,6 +192,39 @@ def test_near_copies(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_near_copies_of_crowds(spark, monkeypatch):
+    """Pairs just above 0.8 in a crowd of variants below it, in several blocks, and a fifth cut off small and larger sets."""
+    monkeypatch.setattr(near_copies, "BLOCK", 40, raising=False)
+    rng = random.Random(11)
+
+    def changed(words, share):
+        out = list(words)
+        for at in range(2, len(out), 5):  # each takes five shingles with it
+            if rng.random() < share:
+                out[at] = f"n{rng.randrange(10**9)}"
+        return out
+
+    rows, kept = [], words_of(rng, 125, 10**6)
+    for _ in range(150):
+        variant = changed(kept, 0.3)
+        rows.append(variant)
+        if rng.random() < 0.2:
+            end = list(variant)
+            end[-13:] = [f"e{rng.randrange(10**9)}" for _ in range(13)]
+            rows.append(end)
+    for n in (9, 40, 150):
+        for _ in range(60):
+            words = [f"u{rng.randrange(10**9)}" for _ in range(n)]
+            rows += [words, words[: n - max(1, (n - 4) // 5)]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in rows]
+    n = range(len(rows))
+    alike = [(a, b) for a in n for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 180
+    want = {i for i, c in components(n, alike).items() if i == c}
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.without_near_copies(frame).collect()} == want
+
+
 def test_near_copies_of_odd_rows(spark):
     rows = [(None, "a b c"), (None, "a b c"), (4, "a b c"), (4, "a b c"), (9, None), (8, ""), (7, "x"), (None, "y"), (None, "y")]
     got = near_copies.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
