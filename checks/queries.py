@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks.tables import Tables
 from kinshelf.config import Settings
 from kinshelf.functions.paths import clean_folder_name, is_excluded, is_supported
-from kinshelf.functions.text import drop_parent_words, label_from_keywords, naming_tokens, terms_1_2
+from kinshelf.functions.text import UNICODE_WORD, drop_parent_words, label_from_keywords, naming_tokens, terms_1_2
 from kinshelf.functions.vectors import cosine_similarity
 from kinshelf.operators import catalog, clustering, delta, features, moves, naming, views
 from kinshelf.operators.components import connected_components
@@ -344,6 +344,17 @@ def document_tokens(t: Tables) -> DataFrame:
     )
 
 
+@query
+def unicode_tokens(t: Tables) -> DataFrame:
+    """Words of every script, as the whole job takes them."""
+    tokens = naming_tokens(F.col("text"), word=UNICODE_WORD)
+    return t.documents.select(
+        "doc_id",
+        F.size(tokens).cast("long").alias("n"),
+        F.sha2(F.array_join(tokens, " "), 256).alias("digest"),
+    )
+
+
 @query
 def word_pairs(t: Tables) -> DataFrame:
     terms = terms_1_2(naming_tokens(F.col("text")))

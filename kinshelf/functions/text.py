@@ -13,7 +13,13 @@ from kinshelf.functions.fixed_values import (
 )
 
 ASCII_WORD = "[a-z]{3,}"
-UNICODE_WORD = r"\p{L}{3,}"
+_CLOSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Words of any script with their marks; where words stand without spaces, two letters of one script are enough.
+UNICODE_WORD = (
+    r"[\p{IsHan}々]{2,}|\p{IsHiragana}{2,}|[\p{IsKatakana}ー]{2,}"
+    r"|[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}&&[\p{L}\p{M}]]{2,}"
+    rf"|[\p{{L}}\p{{M}}&&[^{_CLOSE}ー々]]{{3,}}"
+)
 
 
 def naming_tokens(

@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from kinshelf import Settings
+from kinshelf.functions.text import UNICODE_WORD, naming_tokens
 from kinshelf.plans.full_run import empty_catalog, organize
 from kinshelf.session import fresh_path
 from kinshelf.sources import catalog_io, corpus
@@ -59,3 +60,19 @@ def test_two_runs(spark):
     target = {r.source_path: r.target_folder for r in second.moves.collect()}
     assert target[edited] == "." or not target[edited].startswith(after["a1.txt"].denied_folder_path)
     assert after["a2.txt"].embedding == rows["a2.txt"].embedding
+
+
+def test_other_scripts(spark):
+    texts = {
+        "r1.txt": "Планеты вращаются вокруг далёких звёзд нашей галактики",
+        "r2.txt": "Планеты вращаются вокруг далёких звёзд другой галактики",
+        "j1.txt": "東京 の 天気 は 晴れ です 明日 雨 カメラ",
+        "j2.txt": "東京 の 天気 は 晴れ です 昨日 雨 カメラ",
+    }
+    run = organize(empty_catalog(spark), scan(spark, texts), settings=Settings(similarity_threshold=0.3))
+    rows = {r.filename: r for r in run.files.collect()}
+    assert rows["r1.txt"].cluster_id == rows["r2.txt"].cluster_id != rows["j1.txt"].cluster_id
+    assert rows["j1.txt"].cluster_id == rows["j2.txt"].cluster_id
+    words = spark.createDataFrame([("Élan 東京タワーは雨 हिन्दी ab naïve",)], "text string")
+    found = words.select(naming_tokens(F.col("text"), word=UNICODE_WORD).alias("w")).first().w
+    assert found == ["élan", "東京", "タワー", "हिन्दी", "naïve"]
