@@ -166,7 +166,7 @@ def _cut(text: str, spans: list[tuple[str, int, int]]) -> str:
     for kind, start, end in spans:
         if start >= at:
             parts += [text[at:start], f"[{kind.upper()}]"]
-            at = end
+        at = max(at, end)
     return "".join([*parts, text[at:]]) if parts else text
 
 
@@ -181,7 +181,7 @@ def without_personal_data(text: Column) -> Column:
 
 
 def redacted(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; of overlapping ones the first."""
+    """``docs`` with every span replaced by its kind in brackets; overlapping ones are cut whole, under the kind of the first."""
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:

@@ -167,6 +167,11 @@ def test_links_of_crowded_fingerprints(spark, crowd, monkeypatch):
     assert components(prints, found) == components(prints, close)
 
 
+def test_overlapping_personal_data():
+    assert pii._cut("4111 1111 1111 1111.joe@x.com", [("card", 0, 19), ("email", 15, 29)]) == "[CARD]"
+    assert pii._cut("a bcde f", [("card", 2, 6), ("email", 3, 5), ("url", 4, 6)]) == "a [CARD] f"
+
+
 def test_near_copies(spark):
     rng = random.Random(7)
     base = [words_of(rng, n, 10**6) for n in (6, 12, 30, 60, 150, 400, 900) for _ in range(4)]
