@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from kinshelf.functions.fixed_values import (
     FORBIDDEN_IN_FOLDER_NAME,
@@ -162,7 +164,19 @@ def drop_parent_words(name: Column, parent_path: Column, split_levels: bool = Tr
     only words away from a "/" are dropped.
     """
     pattern = "[/_ ]+" if split_levels else "[_ ]+"
-    parents = F.split(F.lower(parent_path), pattern)
-    left = F.filter(F.split(name, "_"), lambda w: ~F.array_contains(parents, F.lower(w)))
-    left = F.filter(left, lambda w: w != "")
+    words, parents = F.split(name, "_"), F.split(F.lower(parent_path), pattern)
+    left = _words_apart(words, F.split(F.lower(name), "_"), parents)
     return F.when(F.size(left) == 0, name).otherwise(F.array_join(left, "_"))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _words_apart(words: pa.Array, lowered: pa.Array, parents: pa.Array) -> pa.Array:
+    """Words that are not empty and whose lower-case form is no parent; null if an argument is null.
+
+    A lambda would look through all parents for every word; a set takes one step a word.
+    """
+    rows = []
+    for own, low, above in zip(words.to_pylist(), lowered.to_pylist(), parents.to_pylist()):
+        known = None if own is None or above is None else {*above, ""}
+        rows.append(None if known is None else [w for w, form in zip(own, low) if form not in known])
+    return pa.array(rows, pa.list_(pa.string()))

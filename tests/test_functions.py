@@ -63,6 +63,13 @@ def test_parent_words(spark, name, parent, left, split):
     assert made == left
 
 
+def test_parent_words_of_very_long_names(spark):
+    words = [f"W{i}" for i in range(100_000)]
+    made = column(spark, "_".join(words), "string", lambda c: drop_parent_words(c, F.lit("/".join(words[::2]))))
+    assert made == "_".join(words[1::2])
+    assert column(spark, None, "string", lambda c: drop_parent_words(c, F.lit("a"))) is None
+
+
 @pytest.mark.parametrize(
     "path, ok",
     [(f"f.{e}", True) for e in ("pdf", "txt", "md", "rst", "log", "TXT")]

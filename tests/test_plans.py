@@ -162,8 +162,7 @@ def test_files_on_disk(spark, tmp_path):
         (root / name).write_bytes(data)
     scan = corpus.scan_corpus(spark, str(root))
     rows = {r.file_path: r for r in corpus.describe_documents(scan, "content").collect()}
-    # Spark's listing passes over files without a single byte.
-    assert set(rows) == {"a.txt", "sub/raw.log"}
+    assert set(rows) == {"a.txt", "sub/raw.log", "empty.md"} and rows["empty.md"].text == ""
     assert rows["a.txt"].text == "hello" and rows["a.txt"].file_size == 5
     blank = spark.createDataFrame([("e.md", 0, T0, "")], "file_path string, file_size long, modification_date timestamp, text string")
     assert corpus.describe_documents(blank).first().content_summary is None
