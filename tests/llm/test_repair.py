@@ -1,0 +1,149 @@
+"""Mended conversations against a search over all edits."""
+
+import hashlib
+import heapq
+import itertools
+import random
+import re
+import zlib
+
+import pyarrow as pa
+import pytest
+
+from kinshelf.llm import repair
+
+GRAMMAR = re.compile("(s?(ua)+)?")
+BEGUN = re.compile("s?(ua)*u?")
+
+
+def cheapest(rows):
+    """``(cost, audit, repaired)`` for ``(role, text, fault)`` rows, by shortest paths."""
+    heap, seen = [(0, "", 0, "", ())], set()
+    while heap:
+        cost, audit, at, told, out = heapq.heappop(heap)
+        if at == len(rows) and GRAMMAR.fullmatch(told):
+            return cost, audit, out
+        if (at, told[-1:]) in seen:
+            continue
+        seen.add((at, told[-1:]))
+
+        def go(more, letter, step, initial="", row=()):
+            if not initial or BEGUN.fullmatch(told + initial):
+                heapq.heappush(heap, (cost + more, audit + letter, at + step, told + initial, out + row))
+
+        if at < len(rows):
+            role, text, fault = rows[at]
+            late = fault == "truncated"
+            go(3, "D", 1)
+            if fault not in ("blank", "duplicate"):
+                if role:
+                    go(late, "K", 1, role[:1], ((role, text),))
+                for new in ("user", "assistant"):
+                    go(late + 2, "R", 1, new[:1], ((new, text),))
+        for new in ("user", "assistant"):
+            go(2, "I", 0, new[:1], ((new, ""),))
+
+
+def told_of(rows):
+    """The result for rows ``(turn, role, text)`` of one conversation, in order."""
+    seen, marked = set(), []
+    for _, role, text in rows:
+        bare = text.rstrip(" \t\n\x0b\x0c\r")
+        fault = "blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else ""
+        seen.add((role, text))
+        marked.append((role, text, fault))
+    turns = [t for t, *_ in rows if t is not None]
+    cost, audit, out = cheapest(marked)
+    count = [sum(f == kind for *_, f in marked) for kind in ("blank", "duplicate", "truncated")]
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    sha = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()
+    return (gaps, *count, illegal, cost, audit, sha)
+
+
+def damage(rows):
+    """The damage of the contract, row by row."""
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        key = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        kind = zlib.crc32(key.encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        yield from [(conv, turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+
+
+def by_turn(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+
+
+def results(frame):
+    return {r.conv_id: tuple(r[c] for c in (*repair.TOLD, "audit", "repaired_sha256")) for r in frame.collect()}
+
+
+SCHEMA = "conv_id long, turn long, role string, text string, audit string, head boolean, position int"
+
+
+def test_audits_of_all_short_signatures():
+    """Every signature of up to four symbols and long random ones, in several batches."""
+    rng = random.Random(3)
+    signs = {"".join(p) for n in range(5) for p in itertools.product("suaoSUAOd", repeat=n)}
+    signs |= {"".join(rng.choice("suuuaaaoSUAOd") for _ in range(rng.randrange(5, 40))) for _ in range(500)}
+    ordered = sorted(signs, key=lambda s: s[::-1])
+    batches = [pa.record_batch([pa.array(ordered[i : i + 97])], names=["signature"]) for i in range(0, len(ordered), 97)]
+    names = {"s": "system", "u": "user", "a": "assistant", "o": "other"}
+    for r in pa.Table.from_batches(repair._audits(iter(batches))).to_pylist():
+        rows = [(names.get(x.lower(), "user"), "t", "blank" if x == "d" else "truncated" if x.isupper() else "") for x in r["signature"]]
+        assert (r["cost"], r["audit"]) == cheapest(rows)[:2], r["signature"]
+
+
+def test_equal_ends_are_worked_out_once(monkeypatch):
+    steps = []
+    monkeypatch.setattr(repair, "_step", lambda rest, symbol, f=repair._step: steps.append(symbol) or f(rest, symbol))
+    signs = sorted(["uaua", "suaua", "uuaua", "duaua", "ua"], key=lambda s: s[::-1])
+    list(repair._audits(iter([pa.record_batch([pa.array(signs)], names=["signature"])])))
+    assert len(steps) == 7  # a, u, a, u, then one symbol for each longer one
+
+
+def test_random_conversations(spark):
+    rng = random.Random(9)
+    roles = ["system", "user", "assistant", "tool", "", None]
+    texts = ["Yes.", "No!", "why", " \n", "", None, "open?\t", "déjà", "long " * 30_000 + "end."]
+    rows = []
+    for conv in [*range(60), None]:
+        turns = [*range(rng.randrange(12)), *([None] if rng.random() < 0.2 else [])]
+        rng.shuffle(turns)
+        rows += [(conv, t, rng.choices(roles, [1, 5, 5, 1, 1, 1])[0], rng.choices(texts, [9, 9, 5, 2, 2, 2, 5, 3, 1])[0]) for t in turns if t != 3]
+    frame = spark.createDataFrame([(*r, "x", True, 1) for r in rows], SCHEMA)
+    got = results(repair.digests(repair.mended_conversations(repair.damaged(frame), frame)))
+    assert set(got) == {r[0] for r in rows}
+    for conv in got:
+        assert got[conv] == told_of(by_turn([r[1:] for r in damage(rows) if r[0] == conv])), conv
+
+
+def test_one_giant_conversation_and_repeated_rows(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"text {i % 700}.") for i in range(6000)]
+    rows += [(2, 5, "user", "again.")] * 300 + [(2, 6, "assistant", "so.")]
+    frame = spark.createDataFrame([(*r, "x", True, 1) for r in rows], SCHEMA)
+    mended = repair.mended_conversations(frame)
+    got = results(repair.digests(mended))
+    for conv in (1, 2):
+        assert got[conv] == told_of(by_turn([r[1:] for r in rows if r[0] == conv]))
+    assert [(r.role, r.text) for r in mended.where("conv_id = 2 AND position >= 0").orderBy("position").collect()] == [
+        ("user", "again."), ("assistant", "so."),
+    ]
+
+
+def test_empty_tables_and_conversations_without_rows(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert repair.digests(repair.mended_conversations(none, none)).collect() == []
+    some = spark.createDataFrame([(7, 0, "user", "hi", "x", True, 1), (None, 0, "user", "hi", "x", True, 1)], SCHEMA)
+    empty = hashlib.sha256(b"").hexdigest()
+    got = results(repair.digests(repair.mended_conversations(none, some)))
+    assert got == {7: (0, 0, 0, 0, 0, 0, "", empty), None: (0, 0, 0, 0, 0, 0, "", empty)}
+
+
+@pytest.mark.parametrize("rows", [[("user", "t", "")], [("system", "t", "")], [("user", "t", "truncated"), ("user", "t", "")]])
+def test_ties_take_the_smaller_letters(rows):
+    names = {"system": "s", "user": "u"}
+    signature = "".join(names[r].upper() if f else names[r] for r, _, f in rows)
+    out = next(repair._audits(iter([pa.record_batch([pa.array([signature])], names=["signature"])]))).to_pylist()[0]
+    assert (out["cost"], out["audit"]) == cheapest(rows)[:2]
