@@ -14,7 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
+from kinshelf.llm.repeats import free_name
 from kinshelf.operators.components import connected_components
 from kinshelf.session import cut_lineage
 
@@ -128,17 +130,19 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``(fp, component_id)`` for each distinct fingerprint of ``prints(doc_id, fp)``.
+    """``(fp, group, component_id)`` for each distinct fingerprint of ``prints(doc_id, fp)``.
 
-    ``component_id`` is the smallest id of a document that links reach, null if none has one.
+    ``group`` is the smallest fingerprint that links reach, ``component_id`` the smallest id
+    of a document they reach, null if none has one.
     """
     lowest = cut_lineage(prints.groupBy("fp").agg(F.min(doc_id).alias("lowest")))
     joined = connected_components(links(lowest.select("fp"))).select(
         F.col("doc_id").alias("fp"), F.col("component").alias("group")
     )
-    grouped = lowest.join(joined, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-    first = grouped.groupBy("group").agg(F.min("lowest").alias("component_id"))
-    return cut_lineage(grouped.join(first, "group").select("fp", "component_id"))
+    # both written, so that Spark can split the join at a component of very many fingerprints
+    grouped = cut_lineage(lowest.join(joined, "fp", "left").withColumn("group", F.coalesce("group", "fp")))
+    first = cut_lineage(grouped.groupBy("group").agg(F.min("lowest").alias("component_id")))
+    return cut_lineage(grouped.join(first, "group").select("fp", "group", "component_id"))
 
 
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3) -> DataFrame:
@@ -151,10 +155,38 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     prints = cut_lineage(
         with_fingerprints(docs.select(doc_id, text), text, size).select(doc_id, F.col("fingerprint").alias("fp"))
     )
-    return prints.join(components(prints, doc_id), "fp").select(
+    return prints.join(components(prints, doc_id).drop("group"), "fp").select(
         doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3) -> DataFrame:
+    """``docs`` with one row of each component of fingerprints: the one with the smallest id.
+
+    A row without an id stays only if no other of its component has one. Rows of one id go
+    by a hash of all their columns but maps, and repeated rows are one. Null and empty
+    texts are near copies of each other.
+    """
+    key = free_name(docs, "_row")
+    hashed = F.xxhash64(*[f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
+    marked = docs.withColumn(key, hashed)
+    prints = cut_lineage(
+        with_fingerprints(
+            marked.select(F.col(doc_id).alias("doc_id"), F.col(key).alias("row"), F.col(text).alias("text")), "text", size
+        ).select("doc_id", "row", F.col("fingerprint").alias("fp"))
+    )
+    found = prints.groupBy("fp", "doc_id", "row").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "times"))
+    kept = cut_lineage(
+        cut_lineage(found).join(components(prints), "fp").groupBy("group").agg(first.alias("x")).select(
+            F.col("x.row").alias("_row"), F.col("x.doc_id").alias("_id"), F.col("x.times").alias("_times")
+        )
+    )
+    same = (marked[key] == kept["_row"]) & marked[doc_id].eqNullSafe(kept["_id"])
+    once = marked.join(kept.where("_times = 1"), same, "left_semi")
+    several = marked.join(kept.where("_times > 1"), same, "left_semi").dropDuplicates([key, doc_id])
+    return once.unionAll(several).drop(key)
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
