@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinshelf.llm.decontaminate import without_items
-from kinshelf.llm.near_copies import without_near_copies
 from kinshelf.llm.pack import pack_documents
 from kinshelf.llm.pii import without_personal_data
+from kinshelf.llm.simhash import without_near_copies
 from kinshelf.llm.toxicity import fit_toxicity, with_toxicity
 from kinshelf.session import fresh_path
 
@@ -27,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """Keep one document of each group whose SimHash fingerprints link (three-word shingles, two bits)."""
     return without_near_copies(docs)
 
 
