@@ -19,7 +19,6 @@ from kinshelf.llm import (
     decontaminate,
     difference_cover,
     language,
-    near_copies,
     pack,
     pii,
     prefix_free,
@@ -172,68 +171,22 @@ def test_overlapping_personal_data():
     assert pii._cut("a bcde f", [("card", 2, 6), ("email", 3, 5), ("url", 4, 6)]) == "a [CARD] f"
 
 
-def test_near_copies(spark):
-    rng = random.Random(7)
-    base = [words_of(rng, n, 10**6) for n in (6, 12, 30, 60, 150, 400, 900) for _ in range(4)]
-    rows = []
-    for words in base:
-        rows.append(words)
-        for edits in (1, 2, 4, 8):
-            copy = list(words)
-            for _ in range(max(1, edits * len(words) // 200)):
-                copy[rng.randrange(len(copy))] = "other"
-            rows.append(copy)
-    rows += [["The", *base[5]], [w.upper() for w in base[6]], [], ["only"], ["only"]]
-    sets = [{tuple(x.lower() for x in w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in rows]
-    n = range(len(rows))
-    alike = [
-        (a, b) for a in n for b in n
-        if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    ]
-    want = {i for i, c in components(n, alike).items() if i == c}
-    frame = spark.createDataFrame([(i, " ".join(w), "kept") for i, w in enumerate(rows)], "doc_id long, text string, _node string")
-    got = near_copies.without_near_copies(frame)
-    assert got.columns == frame.columns
-    assert {r.doc_id for r in got.collect()} == want
-
-
-def test_near_copies_of_crowds(spark, monkeypatch):
-    """Pairs just above 0.8 in a crowd of variants below it, in several blocks, and a fifth cut off small and larger sets."""
-    monkeypatch.setattr(near_copies, "BLOCK", 40, raising=False)
-    rng = random.Random(11)
-
-    def changed(words, share):
-        out = list(words)
-        for at in range(2, len(out), 5):  # each takes five shingles with it
-            if rng.random() < share:
-                out[at] = f"n{rng.randrange(10**9)}"
-        return out
-
-    rows, kept = [], words_of(rng, 125, 10**6)
-    for _ in range(150):
-        variant = changed(kept, 0.3)
-        rows.append(variant)
-        if rng.random() < 0.2:
-            end = list(variant)
-            end[-13:] = [f"e{rng.randrange(10**9)}" for _ in range(13)]
-            rows.append(end)
-    for n in (9, 40, 150):
-        for _ in range(60):
-            words = [f"u{rng.randrange(10**9)}" for _ in range(n)]
-            rows += [words, words[: n - max(1, (n - 4) // 5)]]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in rows]
-    n = range(len(rows))
-    alike = [(a, b) for a in n for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert len(alike) > 180
-    want = {i for i, c in components(n, alike).items() if i == c}
-    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
-    assert {r.doc_id for r in near_copies.without_near_copies(frame).collect()} == want
+def test_one_document_of_each_component_stays(docs, texts):
+    prints = [fingerprint(t) for t in texts]
+    n = range(len(texts))
+    want = components(n, [(a, b) for a in n for b in n if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+    got = simhash.without_near_copies(clashing(docs))
+    assert got.columns == clashing(docs).columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
 
 
 def test_near_copies_of_odd_rows(spark):
-    rows = [(None, "a b c"), (None, "a b c"), (4, "a b c"), (4, "a b c"), (9, None), (8, ""), (7, "x"), (None, "y"), (None, "y")]
-    got = near_copies.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got), key=str) == [(4, "a b c"), (7, "x"), (8, ""), (None, "y")]
+    rows = [(None, "a b c", 1), (None, "a b c", 1), (4, "a b c", 1), (4, "a b c", 1), (9, None, 1), (8, "", 1), (7, "x", 1)]
+    rows += [(None, "y", 1), (None, "y", 1), (2, "z", 1), (2, "z", 2), (3, "z", 0)]
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string, _row int")).collect()
+    assert sorted((r[:2] for r in got), key=str) == [(2, "z"), (4, "a b c"), (7, "x"), (8, ""), (None, "y")]
+    again = simhash.without_near_copies(spark.createDataFrame(rows[::-1], "doc_id long, text string, _row int")).collect()
+    assert sorted(got, key=str) == sorted(again, key=str)
 
 
 # --- Conversations
@@ -403,7 +356,6 @@ def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(pack.tokenizer_path(None))
-    tokenizer.encode_special_tokens = True
     ids = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
     rows = pack.pack_documents(docs, capacity=256).collect()
     pieces, room = defaultdict(list), defaultdict(list)
@@ -429,11 +381,11 @@ def test_packing(docs, texts):
 def test_units_have_the_tokens_of_whole_texts():
     from tokenizers import Tokenizer
 
-    texts = [*some_texts(2), "a  b\n\n c\t\td", "x y   z 　 q", "\r\n x'll don't  ", " \x1c a \x85b", "<|endoftext|> s", "日本語 テキスト"]
+    texts = [*some_texts(2), "a  b\n\n c\t\td", "x y   z 　 q", "\r\n x'll don't  ", " \x1c a \x85b", "<|endoftext|> s", "a  <|endoftext|>  b<|endoftext|>", "日本語 テキスト"]
     tokenizer = Tokenizer.from_file(pack.tokenizer_path(None))
-    tokenizer.encode_special_tokens = True
     for row, ids in pack.token_rows(pa.array(texts)):
         assert ids.tolist() == [*tokenizer.encode(texts[row] or "", add_special_tokens=False).ids, 0]
+    assert [ids.tolist() for _, ids in pack.token_rows(pa.array(["a <|endoftext|> b"]))] == [[64, 220, 50256, 275, 0]]
 
 
 def test_plans_use_every_piece_once():
@@ -534,7 +486,7 @@ def every_operator(docs, spark):
     yield prefix_free.remove_repeated_bytes(docs)
     yield difference_cover.remove_repeated_windows(docs)
     yield simhash.simhash_components(docs)
-    yield near_copies.without_near_copies(docs)
+    yield simhash.without_near_copies(docs)
     yield pii.with_spans(docs)
     yield toxicity.with_toxicity(docs, model)
     yield language.with_language(docs, language.fit_language(docs))
