@@ -11,7 +11,7 @@ from kinshelf.llm.language import op2_random_field
 from kinshelf.llm.pack import op8_configuration_program
 from kinshelf.llm.pii import op10_anchors
 from kinshelf.llm.prefix_free import op3_prefix_free
-from kinshelf.llm.repair import op12_suffix_dawg
+from kinshelf.llm.repair import OP12_SQL, op12_suffix_dawg
 from kinshelf.llm.simhash import op6_simhash
 from kinshelf.llm.token_files import op13_wavelet_matrix
 from kinshelf.llm.toxicity import op7_boosted_trees
@@ -39,4 +39,5 @@ ORACLES = {
     "op5_block_max": OP5_SQL,
     "op9_containment": OP9_SQL,
     "op11_segment_summaries": OP11_SQL,
+    "op12_suffix_dawg": OP12_SQL,
 }

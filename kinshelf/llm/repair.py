@@ -367,3 +367,90 @@ def digests(mended: DataFrame) -> DataFrame:
 def op12_suffix_dawg(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return digests(mended_conversations(damaged(turns), turns))
+
+
+def _sql_more(entry: str, cost: str | int, letter: str) -> str:
+    """An entry, six digits of cost and an audit, with one more edit in front."""
+    return f"lpad((({entry})[1:6]::INTEGER + {cost})::VARCHAR, 6, '0') || '{letter}' || ({entry})[7:]"
+
+
+def _sql_step() -> str:
+    """Entries of all grammar states before the symbol ``x[1]``, from those after it in ``v``."""
+    late = f"CASE WHEN x[1] IN ('S', 'U', 'A', 'O') THEN {TRUNCATED} ELSE 0 END"
+    base = []
+    for state in range(4):
+        options = [_sql_more(f"v[{state + 1}]", DELETE, "D")]
+        renamed = _sql_more(f"v[{FILLED[state] + 1}]", f"{REROLE} + {late}", "R")
+        options.append(f"CASE WHEN x[1] != '{GONE}' THEN {renamed} END")
+        for role, after in AFTER.items():
+            if after[state] is not None:
+                options.append(f"CASE WHEN lower(x[1]) = '{role}' THEN {_sql_more(f'v[{after[state] + 1}]', late, 'K')} END")
+        base.append(f"least({', '.join(options)})")
+    user, assistant = (f"least(b[{a + 1}], {_sql_more(f'b[{b + 1}]', INSERT, 'I')})" for a, b in ((USER, ASSISTANT), (ASSISTANT, USER)))
+    first = [f"least(b[{s + 1}], {_sql_more(user, INSERT, 'I')})" for s in (NOTHING, SYSTEM)]
+    return f"list_transform([[{', '.join(base)}]], lambda b: [{first[0]}, {first[1]}, {user}, {assistant}])[1]"
+
+
+_SQL_END = ", ".join(f"'{cost:06d}{'I' * (cost // INSERT)}'" for cost in END[0])
+_SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP12_SQL = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations
+), hit AS (
+  SELECT *, xor(list_reduce([ascii(x)::BIGINT FOR x IN string_split(key, '')],
+      lambda c, y: list_reduce(range(8),
+          lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, y)),
+      4294967295::BIGINT), 4294967295) % 20 AS damage
+  FROM said
+), damaged AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '{ENDS}', '') ELSE text END AS text,
+         unnest(range(CASE damage WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE damage != 0
+), ordered AS (
+  SELECT *, left(role, 1) AS initial, rtrim(text, {_SQL_BLANKS}) AS bare,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+  FROM damaged
+), marked AS (
+  SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS class,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair,
+         CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+              WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM ordered
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+         list([CASE WHEN fault IN ('blank', 'duplicate') THEN '{GONE}' WHEN fault = 'truncated' THEN upper(class)
+                    ELSE class END] ORDER BY place DESC) AS symbols
+  FROM marked GROUP BY conv_id
+), solved AS (
+  SELECT *, list_reduce(symbols, lambda v, x: {_sql_step()}, [{_SQL_END}])[1] AS best FROM told
+), letters AS (
+  SELECT conv_id, best[7:] AS audit, unnest(range(1, len(best) - 5)) AS j FROM solved
+), edits AS (
+  SELECT l.conv_id, j, audit[j] AS letter, len(replace(audit[:j], 'D', '')) AS emitted, m.role, m.text, m.initial
+  FROM letters l LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND audit[j] != 'I'
+       AND m.place = len(replace(audit[:j], 'I', ''))
+), begun AS (
+  SELECT *, max(CASE WHEN emitted = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END)
+              OVER (PARTITION BY conv_id) AS led
+  FROM edits
+), mended AS (
+  SELECT conv_id, string_agg(
+      CASE WHEN letter = 'K' THEN role WHEN (emitted - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+      || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired
+  FROM begun WHERE letter != 'D' GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best[:6]::BIGINT, 0) AS cost,
+       coalesce(best[7:], '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+     LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+     LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
