@@ -279,16 +279,30 @@ def test_steps_are_removed(spark):
     assert outside.count() == 3
 
 
-def test_scan_lists_empty_and_underscore_files(spark, tmp_path):
+def test_scan_reads_all_visible_files(spark, tmp_path):
     root = tmp_path / "root"
     (root / "_sub").mkdir(parents=True)
-    for name, text in {"a.txt": "x", "empty.txt": "", "_note.txt": "y", "_sub/b.md": "z", ".hidden.txt": "h", "c.exe": ""}.items():
+    texts = {"a.txt": "x", "empty.txt": "", "_note.txt": "y", "_sub/b.md": "z", ".hidden.txt": "h", "c.exe": "", "ü b.txt": "é"}
+    texts |= {"deep/er/and/deeper/x.log": "1", "deep/.git/y.txt": "2", "long.txt": "w " * 200_000}
+    for name, text in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
+    (root / "deep" / "back").symlink_to(root)
+    (root / "deep" / ".git").chmod(0o000)  # never entered
     found = corpus.scan_corpus(spark, str(root))
     rows = {r.file_path: r for r in found.collect()}
-    assert set(rows) == {"a.txt", "empty.txt", "_note.txt", "_sub/b.md"} and found.count() == 4
-    assert bytes(rows["empty.txt"].content) == b"" and rows["_note.txt"].content is None
-    assert bytes(rows["a.txt"].content) == b"x" and rows["_sub/b.md"].file_size == 1
+    want = set(texts) - {".hidden.txt", "c.exe", "deep/.git/y.txt"}
+    assert set(rows) == want and found.count() == len(want)
+    for name in want:
+        data = texts[name].encode()
+        assert bytes(rows[name].content) == data and rows[name].file_size == len(data)
+        assert abs(rows[name].modification_date.timestamp() - (root / name).stat().st_mtime) < 0.001
+    listed = corpus.list_files(spark, f"file://{root}/")
+    assert {(r.file_path, r.file_size) for r in listed.collect()} == {(n, r.file_size) for n, r in rows.items()}
+    (root / "a.txt").unlink()
+    assert {r.file_path for r in corpus.with_content(listed, str(root)).collect()} == want - {"a.txt"}
+    (tmp_path / "bare").mkdir()
+    assert corpus.scan_corpus(spark, str(tmp_path / "bare")).count() == 0
 
     # a reconcile run keeps their rows
     names = spark.createDataFrame([(n,) for n in rows], "file_path string")
