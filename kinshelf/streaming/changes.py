@@ -7,11 +7,13 @@ relative to the root. Normalised changes are ``(ts, action, path)``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from kinshelf.config import Settings
 from kinshelf.functions.paths import is_excluded, is_supported
@@ -115,6 +117,91 @@ def debounce(changes: DataFrame, seconds: int, by: list[str]) -> DataFrame:
     )
 
 
+class _Burst(StatefulProcessor):
+    """Changes of one key that wait until ``seconds`` have passed without another one."""
+
+    ROWS = 10_000
+
+    def __init__(self, by: list[str], seconds: int) -> None:
+        self.by, self.millis = by, seconds * 1000
+
+    def init(self, handle) -> None:
+        # one entry per path and action, so no row of the state holds a burst
+        self.waiting = handle.getMapState("waiting", "action string, path string", "ts timestamp")
+        self.times = handle.getValueState("times", "started long, ended long, timer long")
+        self.handle = handle
+
+    def _told(self, key) -> Iterator[pd.DataFrame]:
+        """The waiting changes, in parts; the state is empty afterwards."""
+        started, ended, timer = self.times.get()
+        times = {"started": pd.to_datetime(started, unit="ms"), "ended": pd.to_datetime(ended, unit="ms")}
+        rows = []
+
+        def part() -> pd.DataFrame:
+            frame = pd.DataFrame(rows, columns=["action", "path", "ts"])
+            return frame.assign(**times, **dict(zip(self.by, key)))[[*self.by, *times, "ts", "action", "path"]]
+
+        for (action, path), (ts,) in self.waiting.iterator():
+            rows.append((action, path, ts))
+            if len(rows) == self.ROWS:
+                yield part()
+                rows = []
+        if rows:
+            yield part()
+        self.waiting.clear()
+        self.times.clear()
+        self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if self.times.exists() and self.times.get()[2] <= now:
+            yield from self._told(key)  # its time was up before these came
+        started = now
+        if self.times.exists():
+            started, _, timer = self.times.get()
+            self.handle.deleteTimer(timer)
+        for frame in rows:
+            for action, path, ts in zip(frame["action"], frame["path"], frame["ts"]):
+                self.waiting.updateValue((action, path), (ts,))
+        self.times.update((started, now, now + self.millis))
+        self.handle.registerTimer(now + self.millis)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.times.exists() and self.times.get()[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            yield from self._told(key)
+
+    def close(self) -> None:
+        pass
+
+
+#: State stores that keep timers and maps.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def debounce_arrivals(changes: DataFrame, seconds: int, by: list[str]) -> DataFrame:
+    """Stream of changes, held back until none has arrived for ``seconds``, per ``by``.
+
+    ``(*by, started, ended, ts, action, path)``: a row per path and action of a burst with
+    the time the last such change says, and the times between which the burst arrived.
+    The clock is that of the stream, so no change is too late, and the last burst ends
+    without a later one. What was told leaves the state. ``by`` names the root, or also
+    the top folder where one root is too busy for one task. The stream needs the RocksDB
+    state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in changes.schema}
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+    return (
+        changes.select(*by, "ts", "action", "path")
+        .groupBy(*by)
+        .transformWithStateInPandas(
+            statefulProcessor=_Burst(by, seconds),
+            outputStructType=f"{keys}, started timestamp, ended timestamp, ts timestamp, action string, path string",
+            outputMode="append",
+            timeMode="processingTime",
+        )
+    )
+
+
 def debounce_batch(changes: DataFrame, seconds: int, by: list[str]) -> DataFrame:
     """``debounce`` for a table: every change with the ``session`` it belongs to.
 
@@ -174,6 +261,7 @@ def follow_changes(
     own_paths: DataFrame | None = None,
     pauses: DataFrame | None = None,
     syncs: DataFrame | None = None,
+    by_arrival: bool = False,
 ) -> StreamingQuery:
     """Run ``apply(batch, batch_id)`` for the debounced stream of raw changes.
 
@@ -182,19 +270,25 @@ def follow_changes(
     of ``batch_id`` and overwrite an unfinished one.
 
     Changes of ``own_paths(path)``, within ``pauses(start, end)`` or shortly after
-    ``syncs(sync_ts)`` are left out. A burst ends when a later event says that time has
-    passed. With ``heartbeat`` a clock does, once a second, so that the last burst is
-    applied after its quiet time as well; the times of changes have to be the clock's.
+    ``syncs(sync_ts)`` are left out. With ``by_arrival`` a burst ends when no change has
+    arrived for the quiet time, by the clock of the stream; nothing is too late and a
+    session's paths are rows of their own. Otherwise the times of the changes count, and a
+    burst ends when a later event says that time has passed. With ``heartbeat`` a clock does,
+    once a second, so that the last burst is applied after its quiet time as well; the times
+    of changes have to be the clock's.
     """
 
     def each(sessions: DataFrame, batch_id: int) -> None:
-        kinds = [("changed", "changed"), ("deleted", "deleted")]
-        rows = None
-        for column, action in kinds:
-            part = sessions.select(
-                "root", F.lit(action).alias("action"), F.explode(column).alias("path")
-            ).distinct()
-            rows = part if rows is None else rows.unionByName(part)
+        if by_arrival:
+            rows = sessions.select("root", "action", "path").distinct()
+        else:
+            kinds = [("changed", "changed"), ("deleted", "deleted")]
+            rows = None
+            for column, action in kinds:
+                part = sessions.select(
+                    "root", F.lit(action).alias("action"), F.explode(column).alias("path")
+                ).distinct()
+                rows = part if rows is None else rows.unionByName(part)
         rows = rows.persist()  # else the state is run through once for every use
         try:
             if not rows.isEmpty():
@@ -209,11 +303,15 @@ def follow_changes(
     if syncs is not None:
         changes = cooldown(changes, syncs, settings.sync_cooldown_seconds)
     events = normalize_changes(changes, ["root"])
-    if heartbeat:
-        clock = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
-        beats = clock.select(F.col("timestamp").alias("ts"), F.lit("beat").alias("action"))
-        events = events.unionByName(beats, allowMissingColumns=True)
-    batches = debounce(events, settings.debounce_seconds, ["root"])
+    if by_arrival:
+        changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        batches = debounce_arrivals(events, settings.debounce_seconds, ["root"])
+    else:
+        if heartbeat:
+            clock = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+            beats = clock.select(F.col("timestamp").alias("ts"), F.lit("beat").alias("action"))
+            events = events.unionByName(beats, allowMissingColumns=True)
+        batches = debounce(events, settings.debounce_seconds, ["root"])
     writer = batches.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(each)
     if available_now:
