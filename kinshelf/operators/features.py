@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -51,10 +53,10 @@ def fold_copies(tokens: DataFrame) -> DataFrame:
             F.size("tokens") > 0, F.sha2(F.concat_ws(" ", F.array_sort("tokens")), 256)
         ).alias("bag"),
     )
-    return _represented(bags)
+    return represented(bags)
 
 
-def _represented(bags: DataFrame) -> DataFrame:
+def represented(bags: DataFrame) -> DataFrame:
     """``(doc_id, rep, n)`` from ``(doc_id, bag)``; a NULL bag is like no other.
 
     The aggregate is a table of its own, so that both sides of the join are plain
@@ -80,7 +82,7 @@ def fold_equal_vectors(vectors: DataFrame) -> DataFrame:
             F.exists("embedding", lambda x: x != 0), F.sha2(F.array_join("embedding", " "), 256)
         ).alias("bag"),
     )
-    return _represented(bags)
+    return represented(bags)
 
 
 def representatives(copies: DataFrame) -> DataFrame:
@@ -130,6 +132,18 @@ def hashed_vectors(tokens: DataFrame, dimensions: int = 1024) -> DataFrame:
     return unit.select("doc_id", vector_to_array("unit", "float32").alias("embedding"))
 
 
+def hashed_terms(tokens: DataFrame, dimensions: int = 256) -> DataFrame:
+    """Unit-length vectors of hashed word counts, ``(doc_id, embedding array<float>)``.
+
+    A document's vector depends on its own words alone, so it stays when others change.
+    """
+    hashed = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dimensions).transform(
+        tokens.select("doc_id", "tokens")
+    )
+    unit = Normalizer(inputCol="tf", outputCol="unit", p=2.0).transform(hashed)
+    return unit.select("doc_id", vector_to_array("unit", "float32").alias("embedding"))
+
+
 def encoded_vectors(
     docs: DataFrame, encode: Callable[[Column], Column], dimensions: int, text: str = "text"
 ) -> DataFrame:
@@ -143,3 +157,62 @@ def encoded_vectors(
         "doc_id",
         F.when(blank, zero).otherwise(encode(F.col(text)).cast("array<float>")).alias("embedding"),
     )
+
+
+#: Models that this worker has loaded, by name.
+_MODELS: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def model_vectors(
+    docs: DataFrame,
+    model: str,
+    load: Callable[[], Callable[[list[str]], np.ndarray]],
+    dimensions: int,
+    text: str = "text",
+    at_once: int = 64,
+) -> DataFrame:
+    """``(doc_id, embedding)`` from a model that every worker loads once.
+
+    ``load()`` returns a function from a list of texts to a matrix with a row for each;
+    ``model`` is its name, with its version. Texts go to it ``at_once`` by ``at_once``, those
+    of like length together, so that a model that fills up to the longest does little for
+    nothing. Blank texts are not sent; their vector is zero.
+    """
+
+    def each(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            rows = sorted((i for i, t in enumerate(texts) if t.strip()), key=lambda i: len(texts[i]))
+            if rows and model not in _MODELS:
+                _MODELS[model] = load()
+            found = np.zeros((len(texts), dimensions), np.float32)
+            for at in range(0, len(rows), at_once):
+                own = rows[at : at + at_once]
+                found[own] = _MODELS[model]([texts[i] for i in own])
+            vectors = pa.FixedSizeListArray.from_arrays(found.ravel(), dimensions).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["doc_id", "embedding"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text).mapInArrow(each, f"doc_id {kind}, embedding array<float>")
+
+
+def vectors_by_content(
+    files: DataFrame, renewed: DataFrame, vectorize: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``(file_path, embedding)`` of ``renewed(file_path, checksum, text)``, made once for equal content.
+
+    What the catalog ``files`` has a vector for, under any path, is not made again.
+    ``vectorize`` turns ``(doc_id, text)`` into ``(doc_id, embedding)``.
+    """
+    renewed = cut_lineage(renewed.select("file_path", "checksum", "text"))
+    wanted = renewed.select("checksum").distinct()
+    known = cut_lineage(
+        files.where(F.col("embedding").isNotNull() & F.col("checksum").isNotNull())
+        .join(wanted, "checksum", "left_semi")
+        .groupBy("checksum")
+        .agg(F.first("embedding").alias("embedding"))
+    )
+    new = renewed.join(known, "checksum", "left_anti").groupBy("checksum").agg(F.first("text").alias("text"))
+    made = vectorize(cut_lineage(new.withColumnRenamed("checksum", "doc_id")))
+    every = known.unionAll(made.select("doc_id", F.col("embedding").cast("array<float>")))
+    return renewed.select("file_path", "checksum").join(cut_lineage(every), "checksum").select("file_path", "embedding")
