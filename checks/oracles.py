@@ -238,6 +238,64 @@ shared_ranked AS (
     FROM usable)"""
 
 ORACLES: dict[str, str] = {
+    "scan_files": f"""WITH {FILES}, placed AS (
+            SELECT *, CASE WHEN doc_id % 9 = 0 THEN '_' WHEN doc_id % 11 = 0 THEN '.hidden/' ELSE '' END
+                   || lang || '/' || filename AS place FROM files)
+        SELECT place AS file_path, filename, file_size, 'text' AS file_type, sha256(text) AS checksum
+        FROM placed WHERE NOT starts_with(place, '.')""",
+    "scan_changes": f"""WITH {CATALOG}, seen AS (
+            SELECT CASE WHEN quality = 0 THEN 'new/' || file_path ELSE file_path END AS file_path,
+                   file_size + toxic AS size,
+                   modification_date + to_seconds(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) AS time
+            FROM labelled WHERE lang <> 'de')
+        SELECT coalesce(f.file_path, s.file_path) AS file_path,
+               CASE WHEN f.file_path IS NULL THEN 'new' WHEN s.file_path IS NULL THEN 'removed' ELSE 'edited' END AS status
+        FROM files f FULL JOIN seen s ON f.file_path = s.file_path
+        WHERE f.file_path IS NULL OR s.file_path IS NULL OR f.file_size <> s.size OR f.modification_date <> s.time""",
+    "unicode_tokens": f"""WITH tokens AS (
+            SELECT doc_id, [w FOR w IN regexp_extract_all(lower(text),
+                '[\\p{{Han}}々]{{2,}}|\\p{{Hiragana}}{{2,}}|[\\p{{Katakana}}ー]{{2,}}|[\\p{{L}}\\p{{M}}]{{3,}}')
+                IF w NOT IN ({IGNORE})] AS words
+            FROM documents)
+        SELECT doc_id, len(words) AS n, sha256(array_to_string(words, ' ')) AS digest FROM tokens""",
+    "keyword_labels": f"""WITH {KEYWORDS}, lists AS (
+            SELECT cluster_id, list(term ORDER BY r) AS terms
+            FROM (SELECT * FROM alone_ranked UNION ALL SELECT * FROM shared_ranked)
+            WHERE r <= 5 GROUP BY cluster_id),
+        titled AS (
+            SELECT cluster_id, [[array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(term, ' ')], '_')]
+                                FOR term IN terms] AS words FROM lists),
+        merged AS (
+            SELECT cluster_id, list_reduce(words, lambda kept, x: CASE
+                WHEN len([e FOR e IN kept IF contains(lower(e), lower(x[1]))]) > 0 THEN kept
+                WHEN len([e FOR e IN kept IF contains(lower(x[1]), lower(e))]) > 0
+                THEN [CASE WHEN e = [f FOR f IN kept IF contains(lower(x[1]), lower(f))][1] THEN x[1] ELSE e END
+                      FOR e IN kept]
+                ELSE list_concat(kept, x) END, []::VARCHAR[]) AS words FROM titled),
+        once AS (
+            SELECT cluster_id, list_reduce([[w] FOR w IN words], lambda kept, x: CASE
+                WHEN list_contains([lower(e) FOR e IN kept], lower(x[1])) THEN kept
+                ELSE list_concat(kept, x) END, []::VARCHAR[]) AS words FROM merged)
+        SELECT cluster_id, CASE
+            WHEN len(words) > 1 AND len(string_split(words[1], '_')) + len(string_split(words[2], '_')) <= 2
+            THEN words[1] || '_' || words[2] ELSE words[1] END AS label
+        FROM once""",
+    "components_after_changes": """WITH RECURSIVE now AS (
+            SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label NOT IN (0, 1)
+            UNION ALL SELECT vec_id, list_reverse(embedding)::DOUBLE[] FROM embeddings WHERE label = 1
+            UNION ALL SELECT vec_id + 1000000, list_concat([-x FOR x IN embedding[:8]], embedding[9:])::DOUBLE[]
+            FROM embeddings WHERE label = 2),
+        pairs AS (
+            SELECT a.doc_id AS src, b.doc_id AS dst, list_cosine_similarity(a.v, b.v) AS sim
+            FROM now a JOIN now b ON a.doc_id < b.doc_id),
+        edges AS (
+            SELECT level, src, dst FROM pairs JOIN (VALUES (0, 0.35), (1, 0.45), (2, 0.55)) l(level, t) ON sim >= t),
+        both_ways AS (SELECT * FROM edges UNION ALL SELECT level, dst, src FROM edges),
+        reach AS (
+            SELECT DISTINCT level, src AS doc_id, src AS other FROM both_ways
+            UNION SELECT r.level, r.doc_id, e.dst FROM reach r JOIN both_ways e
+                  ON e.level = r.level AND e.src = r.other)
+        SELECT level::BIGINT AS level, doc_id, min(other) AS component FROM reach GROUP BY level, doc_id""",
     "fingerprint": "SELECT doc_id, sha256(text) AS checksum FROM documents",
     "describe_documents": f"""WITH {FILES}
         SELECT file_path, filename, file_size, modification_date, 'text' AS file_type,
@@ -386,7 +444,9 @@ ORACLES: dict[str, str] = {
     "tfidf_vectors": f"WITH {TOKENS}, {VECTORS} SELECT doc_id, term, round(w, 6) AS w FROM vectors",
     "group_tfidf": f"""WITH {FAMILY_WEIGHTS}
         SELECT family, grp, term, round(w, 6) AS w FROM group_weights""",
-    "df_boost": f"""WITH {BOOSTED_FREQUENT}
+    "df_boost": f"""WITH {BOOSTED}
+        SELECT family, grp, term, round(score, 6) AS score FROM boosted""",
+    "df_boost_bounded": f"""WITH {BOOSTED_FREQUENT}
         SELECT family, grp, term, round(score, 6) AS score FROM boosted""",
     "contrast_terms": f"""WITH {BOOSTED}
         SELECT family, grp, string_agg(term, ',' ORDER BY r) AS ranked

@@ -12,7 +12,7 @@ from kinshelf.config import Settings
 from kinshelf.functions.paths import clean_folder_name, is_excluded, is_supported
 from kinshelf.functions.text import UNICODE_WORD, drop_parent_words, label_from_keywords, naming_tokens, terms_1_2
 from kinshelf.functions.vectors import cosine_similarity
-from kinshelf.operators import catalog, clustering, delta, features, moves, naming, views
+from kinshelf.operators import catalog, clustering, delta, features, graph, moves, naming, views
 from kinshelf.operators.components import connected_components
 from kinshelf.operators.dense import dense_pairs
 from kinshelf.operators.similarity import sparse_links, sparse_pairs
@@ -41,6 +41,19 @@ def fingerprint(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", corpus.fingerprint(F.col("text")).alias("checksum"))
 
 
+@query
+def scan_files(t: Tables) -> DataFrame:
+    """All documents as files, some under names that start with "_" or ".", read back."""
+    root = fresh_path(t.spark, "files")
+    name = F.concat_ws("/", "lang", "filename")
+    place = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("_"), name)).when(
+        F.col("doc_id") % 11 == 0, F.concat(F.lit(".hidden/"), name)
+    )
+    corpus.write_files(t.files.select(F.coalesce(place, name).alias("file_path"), "text"), root)
+    scanned = corpus.describe_documents(corpus.scan_corpus(t.spark, root), "content")
+    return scanned.select("file_path", "filename", "file_size", "file_type", "checksum")
+
+
 @query
 def describe_documents(t: Tables) -> DataFrame:
     return corpus.describe_documents(t.files).drop("text", "creation_date", "content_summary")
@@ -212,6 +225,19 @@ def catalog_diff(t: Tables) -> DataFrame:
     return catalog.catalog_diff(t.catalog, scan)
 
 
+@query
+def scan_changes(t: Tables) -> DataFrame:
+    """A scan in which files of one language are gone, some longer, some later and some new."""
+    seen = t.labelled.where("lang != 'de'").select(
+        F.when(F.col("quality") == 0, F.concat(F.lit("new/"), "file_path")).otherwise(F.col("file_path")).alias("file_path"),
+        (F.col("file_size") + F.col("toxic")).alias("file_size"),
+        F.when(F.col("lang") == "fr", F.col("modification_date") + F.make_dt_interval(secs=F.lit(1)))
+        .otherwise(F.col("modification_date"))
+        .alias("modification_date"),
+    )
+    return catalog.scan_changes(t.files, seen)
+
+
 @query
 def incremental_analyze(t: Tables) -> DataFrame:
     vector = F.when(F.col("quality") == 1, F.array(F.lit(1.0).cast("float")))
@@ -314,6 +340,14 @@ def map_coordinates(t: Tables) -> DataFrame:
     return views.map_coordinates(t.vectors)
 
 
+@query
+def map_terms(t: Tables) -> DataFrame:
+    """Places of all documents by their TF-IDF vectors."""
+    tokens = cut_lineage(_tokens(t))
+    copies = cut_lineage(features.fold_copies(tokens))
+    return views.map_terms(features.tfidf_vectors(tokens, copies), copies)
+
+
 @query
 def map_layer(t: Tables) -> DataFrame:
     points = t.vectors.select(
@@ -396,16 +430,26 @@ def group_tfidf(t: Tables) -> DataFrame:
     return weights.select("family", "grp", "term", F.round("w", 6).alias("w"))
 
 
-@query
-def df_boost(t: Tables) -> DataFrame:
+def _boosted(t: Tables, most_frequent: int | None) -> DataFrame:
     tokens, members = cut_lineage(_tokens(t)), _families(t)
-    # the reference's own bound on compared terms, as a parameter
-    weights = cut_lineage(naming.group_tfidf(tokens, members, most_frequent=40))
+    weights = cut_lineage(naming.group_tfidf(tokens, members, most_frequent=most_frequent))
     shares = naming.term_shares(tokens, members, weights)
     scores = naming.boosted_terms(weights, shares, members)
     return scores.withColumn("score", F.round("score", 6))
 
 
+@query
+def df_boost(t: Tables) -> DataFrame:
+    """All terms of every group."""
+    return _boosted(t, None)
+
+
+@query
+def df_boost_bounded(t: Tables) -> DataFrame:
+    """With the reference's own bound on compared terms, as a parameter."""
+    return _boosted(t, 40)
+
+
 @query
 def contrast_terms(t: Tables) -> DataFrame:
     """The six best terms of each group, through the bounds."""
@@ -552,6 +596,20 @@ def recursive_clusters(t: Tables) -> DataFrame:
     return leaves.select("doc_id", F.col("level").cast("long").alias("level"), "parent")
 
 
+@query
+def components_after_changes(t: Tables) -> DataFrame:
+    """A graph of all vectors is changed: one label goes, one turns round, one comes again under new ids, moved a little."""
+    levels = [0.35, 0.45, 0.55]
+    made = graph.build_graph(t.vectors, levels)
+    turned = t.vectors.where("label = 1").select("doc_id", F.reverse("embedding").alias("embedding"))
+    near = F.transform("embedding", lambda x, i: F.when(i < 8, -x).otherwise(x))
+    again = t.vectors.where("label = 2").select((F.col("doc_id") + 1_000_000).alias("doc_id"), near.alias("embedding"))
+    after = graph.change_graph(made, turned.unionAll(again), t.vectors.where("label = 0").select("doc_id"), levels)
+    copies = features.represented(after.members.withColumnRenamed("node", "bag"))
+    found = graph.document_components(after, copies)
+    return found.select(F.col("level").cast("long").alias("level"), "doc_id", "component")
+
+
 @query
 def cluster_stats_dense(t: Tables) -> DataFrame:
     members = t.vectors.select(F.col("label").alias("cluster_id"), "doc_id", F.lit(1).alias("n"))

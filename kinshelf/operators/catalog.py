@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinshelf.functions.paths import child_path, parent_folder
+from kinshelf.session import cut_lineage
 
 
 def _whole_row(df: DataFrame) -> Column:
@@ -192,6 +193,47 @@ def catalog_diff(files: DataFrame, scan: DataFrame) -> DataFrame:
     )
 
 
+def folder_digests(files: DataFrame) -> DataFrame:
+    """``(folder, files, digest, other)`` of the files that lie directly in each folder.
+
+    The digests tell, in two independent hashes, the paths, sizes and times of its files
+    whatever their order.
+    """
+    told = [F.col("file_path"), F.col("file_size"), F.unix_micros(F.col("modification_date").cast("timestamp"))]
+    return files.groupBy(parent_folder(F.col("file_path")).alias("folder")).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.bit_xor(F.xxhash64(*told)).alias("digest"),
+        F.bit_xor(F.xxhash64(F.lit(1), *told)).alias("other"),
+    )
+
+
+def scan_changes(files: DataFrame, scan: DataFrame) -> DataFrame:
+    """``(file_path, status)``: "new", "removed", or "edited" where size or time differ.
+
+    Both have ``file_path, file_size, modification_date``. Folders are compared first; only
+    the files of those that differ meet.
+    """
+    mine, seen = folder_digests(files).alias("a"), folder_digests(scan).alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("files", "digest", "other")]
+    differing = (
+        mine.join(seen, "folder", "full_outer").where(~(same[0] & same[1] & same[2])).select("folder")
+    )
+    differing = cut_lineage(differing)
+
+    def within(rows: DataFrame, name: str) -> DataFrame:
+        told = F.struct("file_size", F.col("modification_date").cast("timestamp").alias("time"))
+        inside = rows.withColumn("folder", parent_folder(F.col("file_path"))).join(differing, "folder", "left_semi")
+        return inside.select("file_path", told.alias(name))
+
+    both = within(files, "_a").join(within(scan, "_b"), "file_path", "full_outer")
+    status = (
+        F.when(F.col("_a").isNull(), "new")
+        .when(F.col("_b").isNull(), "removed")
+        .when(~F.col("_a").eqNullSafe(F.col("_b")), "edited")
+    )
+    return both.select("file_path", status.alias("status")).where(F.col("status").isNotNull())
+
+
 def incremental_analyze(files: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split scanned documents into catalog rows to reuse and documents to analyse.
 

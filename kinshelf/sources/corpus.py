@@ -98,7 +98,7 @@ def _read(root: str):
             for row, path in enumerate(given.column(0).to_pylist()):
                 try:
                     with system.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
-                        data = stream.readall().to_pybytes()
+                        data = stream.readall()
                 except FileNotFoundError:
                     continue  # gone since it was listed
                 rows.append(row)

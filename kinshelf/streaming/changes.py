@@ -17,7 +17,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from kinshelf.config import Settings
 from kinshelf.functions.paths import is_excluded, is_supported
-from kinshelf.operators.catalog import catalog_diff, delete, incremental_analyze, upsert
+from kinshelf.operators.catalog import catalog_diff, delete, incremental_analyze, scan_changes, upsert
+from kinshelf.session import cut_lineage
 
 
 def normalize_changes(changes: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -239,16 +240,24 @@ def apply_changes(
 
 
 def reconcile(
-    files: DataFrame, scan: DataFrame, describe: Callable[[DataFrame], DataFrame]
+    files: DataFrame,
+    scan: DataFrame,
+    describe: Callable[[DataFrame], DataFrame],
+    apply: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
-    """Catalog after comparing it with a scan, or None if nothing is new or gone."""
-    diff = catalog_diff(files, scan)
+    """Catalog after comparing it with a scan, or None if nothing is new, gone or edited.
+
+    Where the scan has sizes and times, as ``list_files`` gives them, edits are found by
+    them, and only folders that differ are looked into. ``apply`` takes the batch
+    ``(action, path)`` in place of ``apply_changes``.
+    """
+    timed = {"file_size", "modification_date"} <= {*scan.columns} & {*files.columns}
+    diff = cut_lineage(scan_changes(files, scan) if timed else catalog_diff(files, scan))
     if diff.isEmpty():
         return None
-    action = F.when(F.col("status") == "new", "changed").otherwise("deleted")
-    return apply_changes(
-        files, diff.select(action.alias("action"), F.col("file_path").alias("path")), describe
-    )
+    action = F.when(F.col("status") == "removed", "deleted").otherwise("changed")
+    batch = diff.select(action.alias("action"), F.col("file_path").alias("path"))
+    return apply(batch) if apply else apply_changes(files, batch, describe)
 
 
 def follow_changes(

@@ -305,6 +305,7 @@ def test_scan_reads_all_visible_files(spark, tmp_path):
     assert corpus.scan_corpus(spark, str(tmp_path / "bare")).count() == 0
 
     # a reconcile run keeps their rows
-    names = spark.createDataFrame([(n,) for n in rows], "file_path string")
-    files = catalog_io.complete_columns(names, catalog_io.FILES_SCHEMA)
-    assert stream.reconcile(files, found, lambda paths: None) is None
+    known = [(r.file_path, r.file_size, r.modification_date) for r in rows.values()]
+    files = spark.createDataFrame(known, "file_path string, file_size long, modification_date timestamp")
+    files = catalog_io.complete_columns(files, catalog_io.FILES_SCHEMA)
+    assert stream.reconcile(files, listed, lambda paths: None) is None
