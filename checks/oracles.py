@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kinshelf.config import Settings
 from kinshelf.functions.fixed_values import NAMING_IGNORE, STOP_WORDS
 
 
@@ -237,7 +238,59 @@ shared_ranked AS (
            row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term DESC) AS r
     FROM usable)"""
 
+def _recursion(settings: Settings) -> str:
+    """The documents' last groups, level by level, from ``vectors(doc_id, v)`` and ``sims(src, dst, sim)``."""
+    parts = ["act0 AS (SELECT 'root' AS parent, doc_id FROM vectors)"]
+    ended = []
+    for d in range(settings.max_depth + 1):
+        parts.append(f"""
+        close{d} AS (
+            SELECT src, dst FROM sims JOIN act{d} a ON a.doc_id = src JOIN act{d} b ON b.doc_id = dst
+            WHERE a.parent = b.parent AND sim >= {settings.threshold_at(d)!r}),
+        {_components(f"close{d}", f"comp{d}")},
+        joined{d} AS (SELECT parent, doc_id, grp FROM act{d} LEFT JOIN comp{d} USING (doc_id)),
+        sums{d} AS (
+            SELECT parent, grp, i, avg(v[i]) AS m
+            FROM (SELECT parent, grp, v, unnest(range(1, len(v) + 1)) AS i
+                  FROM joined{d} JOIN vectors USING (doc_id) WHERE grp IS NOT NULL)
+            GROUP BY parent, grp, i),
+        means{d} AS (SELECT parent, grp, list(m ORDER BY i) AS m FROM sums{d} GROUP BY parent, grp),
+        near{d} AS (
+            SELECT j.parent, j.doc_id, m.grp, list_cosine_similarity(v, m.m) AS sim
+            FROM joined{d} j JOIN vectors USING (doc_id) JOIN means{d} m ON m.parent = j.parent
+            WHERE j.grp IS NULL
+            QUALIFY row_number() OVER (PARTITION BY j.parent, j.doc_id ORDER BY sim DESC, m.grp) = 1),
+        placed{d} AS (
+            SELECT j.parent, j.doc_id, coalesce(j.grp, n.grp) AS grp FROM joined{d} j
+            LEFT JOIN near{d} n ON n.parent = j.parent AND n.doc_id = j.doc_id
+                 AND n.sim >= {settings.absorb_threshold_at(d)!r}),
+        loose{d} AS (
+            SELECT src, dst FROM sims JOIN placed{d} a ON a.doc_id = src JOIN placed{d} b ON b.doc_id = dst
+            WHERE a.grp IS NULL AND b.grp IS NULL AND a.parent = b.parent
+                  AND sim >= {settings.loose_threshold_at(d)!r}),
+        {_components(f"loose{d}", f"left{d}")},
+        step{d} AS (
+            SELECT p.parent, p.doc_id, coalesce(p.grp, l.grp, p.doc_id) AS grp
+            FROM placed{d} p LEFT JOIN left{d} l ON l.doc_id = p.doc_id AND p.grp IS NULL),
+        judged{d} AS (
+            SELECT s.*, groups > 1 AS split,
+                   groups > 1 AND {d} < {settings.max_depth} AND size >= {settings.min_cluster_size_for_split} AS again
+            FROM step{d} s
+            JOIN (SELECT parent, grp, count(*) AS size FROM step{d} GROUP BY parent, grp) USING (parent, grp)
+            JOIN (SELECT parent, count(DISTINCT grp) AS groups FROM step{d} GROUP BY parent) USING (parent)),
+        act{d + 1} AS (SELECT grp::VARCHAR AS parent, doc_id FROM judged{d} WHERE again)""")
+        ended.append(f"""SELECT doc_id, ({d} + split::INTEGER)::BIGINT AS level,
+            CASE WHEN split THEN grp::VARCHAR ELSE parent END AS parent FROM judged{d} WHERE NOT again""")
+    return ", ".join(parts) + " " + " UNION ALL ".join(ended)
+
+
 ORACLES: dict[str, str] = {
+    "recursive_clusters": f"""WITH RECURSIVE vectors AS (
+            SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
+        sims AS MATERIALIZED (
+            SELECT * FROM (SELECT a.doc_id AS src, b.doc_id AS dst, list_cosine_similarity(a.v, b.v) AS sim
+                           FROM vectors a JOIN vectors b ON a.doc_id < b.doc_id) WHERE sim > 0.3),
+        {_recursion(Settings(similarity_threshold=0.35))}""",
     "scan_files": f"""WITH {FILES}, placed AS (
             SELECT *, CASE WHEN doc_id % 9 = 0 THEN '_' WHEN doc_id % 11 = 0 THEN '.hidden/' ELSE '' END
                    || lang || '/' || filename AS place FROM files)
@@ -396,6 +449,10 @@ ORACLES: dict[str, str] = {
     "search_documents": f"""WITH {FILES}
         SELECT doc_id FROM files
         WHERE contains(lower(filename), 'nder') OR contains(lower(text), 'nder')""",
+    "search_by_index": f"""WITH {FILES}
+        SELECT query, doc_id FROM files JOIN (VALUES ('  NDer ', 'nder'), ('Un', 'un'), ('é', 'é'), ('3.txt', '3.txt'),
+            ('the and of', 'the and of'), ('no such passage', 'no such passage')) q(query, low)
+        ON contains(lower(filename), low) OR contains(lower(text), low) OR contains('text', low)""",
     "pending_documents": """
         SELECT source, count(*) AS waiting FROM documents
         WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY source""",

@@ -12,7 +12,7 @@ from kinshelf.config import Settings
 from kinshelf.functions.paths import clean_folder_name, is_excluded, is_supported
 from kinshelf.functions.text import UNICODE_WORD, drop_parent_words, label_from_keywords, naming_tokens, terms_1_2
 from kinshelf.functions.vectors import cosine_similarity
-from kinshelf.operators import catalog, clustering, delta, features, graph, moves, naming, views
+from kinshelf.operators import catalog, clustering, delta, features, graph, moves, naming, search_index, views
 from kinshelf.operators.components import connected_components
 from kinshelf.operators.dense import dense_pairs
 from kinshelf.operators.similarity import sparse_links, sparse_pairs
@@ -286,6 +286,22 @@ def search_documents(t: Tables) -> DataFrame:
     return views.search(t.catalog, "  NDer ").select("doc_id")
 
 
+#: Long and short, frequent, rare and missing ones, over words and in names.
+SEARCHED = ["  NDer ", "Un", "é", "3.txt", "the and of", "no such passage"]
+
+
+@query
+def search_by_index(t: Tables) -> DataFrame:
+    """Several searches through one stored index of all documents."""
+    path = fresh_path(t.spark, "search")
+    search_index.build_search_index(t.catalog, path)
+    found = None
+    for text in SEARCHED:
+        rows = search_index.search_indexed(t.catalog, path, text).select(F.lit(text).alias("query"), "doc_id")
+        found = rows if found is None else found.unionAll(rows)
+    return found
+
+
 @query
 def pending_documents(t: Tables) -> DataFrame:
     vectors = t.vectors.select("doc_id", "embedding")

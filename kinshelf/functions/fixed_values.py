@@ -6,7 +6,7 @@ SUPPORTED_EXTENSIONS = ["txt", "md", "rst", "log", "pdf"]
 # Extensions a label must not end with.
 LABEL_EXTENSIONS = ["txt", "pdf", "md", "log", "docx", "xlsx"]
 
-# Directory names whose events are not followed.
+# Directory names whose events are not followed; the first is what packaging makes of this project.
 EXCLUDED_DIRECTORIES = [
     "kinshelf.egg-info", "__pycache__", "node_modules", "venv", "env", ".git", ".idea", ".vscode",
     "dist", "build", ".pytest_cache", ".hypothesis",
