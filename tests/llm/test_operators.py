@@ -346,7 +346,35 @@ def test_blocks_are_pruned_without_loss():
             exact += w * tf * 2.2 / (tf + 1.2)
         found, scores = shard.top(terms, weights, 10)
         assert np.allclose(scores, exact[found])
-        assert set(np.flatnonzero(exact >= np.sort(exact)[-10]) if (exact > 0).sum() > 10 else np.flatnonzero(exact)) <= set(found.tolist())
+        want = set(np.flatnonzero(exact >= np.sort(exact)[-10]) if (exact > 0).sum() > 10 else np.flatnonzero(exact))
+        assert want <= set(found.tolist())
+        # with a bar, lists that stay below it together are passed over
+        for share in (0.3, 0.7, 1.0):
+            bar = share * float(np.sort(exact)[-10])
+            found, scores = shard.top(terms, weights, 10, bar - 1e-6)
+            assert np.allclose(scores, exact[found])
+            assert {d for d in want if exact[d] >= bar} <= set(found.tolist())
+
+
+def test_long_queries_score_few_postings():
+    """Frequent words cannot bring a document up, and most postings are never scored."""
+    rng = np.random.default_rng(2)
+    rows = np.repeat(np.arange(3000), 80)
+    hashes = (rng.zipf(1.2, len(rows)) % 20_000).astype(np.uint64)
+    shard = block_max.Shard(hashes, rows, 3000, 80.0)
+    df = {t: len(np.unique(rows[hashes == t])) for t in np.unique(hashes).tolist()}
+    every = 0
+    for doc in range(0, 3000, 200):
+        terms = np.unique(hashes[rows == doc])
+        weights = np.array([math.log(1 + (3000 - df[t] + 0.5) / (df[t] + 0.5)) for t in terms.tolist()])
+        every += sum(df[t] for t in terms.tolist())
+        free, scores = shard.top(terms, weights, 10)
+        bar = float(np.sort(scores)[-10])
+        shard.scored, before = 0, shard.scored
+        found, again = shard.top(terms, weights, 10, bar - 1e-6)
+        assert set(free[scores >= bar].tolist()) <= set(found.tolist())
+        shard.scored, within = before, shard.scored if doc == 0 else within + shard.scored
+    assert within < 0.5 * every
 
 
 # --- Packing
