@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinshelf.session import cut_lineage
 
 #: Edges that a task contracts at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
