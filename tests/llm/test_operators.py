@@ -356,6 +356,20 @@ def test_blocks_are_pruned_without_loss():
             assert {d for d in want if exact[d] >= bar} <= set(found.tolist())
 
 
+def test_frequent_words_alone_and_bars_above_all():
+    rows = np.repeat(np.arange(200), 3)
+    hashes = np.where(np.arange(600) % 3 < 2, np.arange(600) % 3, 50 + rows // 4).astype(np.uint64)
+    shard = block_max.Shard(hashes, rows, 200, 3.0)
+    for terms in ([0], [0, 1], [60], [0, 60], [999]):
+        terms, weights = np.array(terms, np.uint64), np.arange(1.0, len(terms) + 1)
+        free = dict(zip(*(x.tolist() for x in shard.top(terms, weights, 3))))
+        top = max(free.values(), default=0.0)
+        for bar in (0.0, top - 1e-6, top / 2, top + 1):
+            got = dict(zip(*(x.tolist() for x in shard.top(terms, weights, 3, bar, shard.sums([(terms, weights)])[0]))))
+            assert set(got) >= {d for d, s in free.items() if s >= bar and s >= sorted(free.values())[-3]}
+            assert all(abs(free[d] - s) < 1e-9 for d, s in got.items() if d in free)
+
+
 def test_long_queries_score_few_postings():
     """Frequent words cannot bring a document up, and most postings are never scored."""
     rng = np.random.default_rng(2)
