@@ -99,7 +99,7 @@ def test_graph_after_random_changes(spark):
     docs = {f"d{i:03d}": vector() for i in range(60)}
     g = graph.build_graph(spark.createDataFrame(list(docs.items()), schema), LEVELS)
     assert told(g, spark) == by_hand(docs, LEVELS)
-    for step in range(3):
+    for step in range(2):
         changed = {f"d{i:03d}": vector() for i in rng.integers(0, 90, 15)}
         gone = {f"d{i:03d}" for i in rng.integers(0, 90, 12)}
         docs = {d: v for d, v in {**docs, **changed}.items() if d not in gone}
