@@ -1,14 +1,18 @@
 """Terms inside words, places of sparse vectors, and edits that a scan finds."""
 
+import math
 import random
+import re
 import time
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinshelf import Settings
-from kinshelf.operators import catalog, naming, views
+from kinshelf.operators import catalog, features, naming, views
 from kinshelf.streaming import changes as stream
 
 
@@ -98,3 +102,50 @@ def test_reconcile_runs_in_a_rhythm(spark, tmp_path):
     finally:
         query.stop()
     assert len(runs) >= 3 and runs[2] - runs[1] > 0.5
+
+
+def test_keywords_of_clusters_in_slices(spark, monkeypatch):
+    """A cluster dealt out to many slices has the keywords that brute force finds."""
+    monkeypatch.setattr(naming, "SLICE", 3)
+    rng = np.random.default_rng(4)
+    vocabulary = ["apple", "berry", "cedar", "delta", "ember", "fjord", "grape", "hazel", "irony", "joker"]
+    docs = [(i, i % 2, [vocabulary[k] for k in rng.integers(0, 10, rng.integers(1, 9))]) for i in range(30)]
+    tokens = spark.createDataFrame([(i, [], words) for i, _, words in docs], "doc_id long, stem_tokens array<string>, tokens array<string>")
+    members = spark.createDataFrame([(f"c{c}", i) for i, c, _ in docs], "cluster_id string, doc_id long")
+    for most_frequent in (None, 12):
+        found = naming.extract_keywords(tokens, members, 5, [], most_frequent)
+        got = {r.cluster_id: r.keywords for r in found.collect()}
+        for c in (0, 1):
+            counts = [Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for _, own, w in docs if own == c]
+            df, total = Counter(t for d in counts for t in d), Counter()
+            for d in counts:
+                total.update(d)
+            kept = set(sorted(total, key=lambda t: (-total[t], t))[:most_frequent])
+            score = Counter()
+            for d in counts:
+                w = {t: (1 + math.log(n)) * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, n in d.items() if t in kept}
+                length = math.sqrt(sum(x * x for x in w.values()))
+                for t, x in w.items():
+                    score[t] += x / length
+            usable = {t: x * (1.4 if " " in t else 1) for t, x in score.items() if " " not in t or len(set(t.split())) > 1}
+            best = sorted(((round(x, 12), t) for t, x in usable.items()), reverse=True)[:5]
+            assert got[f"c{c}"] == [t for _, t in best]
+
+
+def test_words_are_counted_where_their_document_is(spark, monkeypatch):
+    """Counting the words of a document does not move them."""
+    tokens = spark.createDataFrame(
+        [(i, [], ["red", "car", f"w{'x' * i}"]) for i in range(6)], "doc_id long, stem_tokens array<string>, tokens array<string>"
+    )
+    plan = features.tfidf_vectors(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, term#", plan)
+    plans, cut = [], naming.cut_lineage
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(naming, "cut_lineage", watched)
+    members = tokens.select((F.col("doc_id") % 2).alias("family"), (F.col("doc_id") % 3).alias("grp"), "doc_id")
+    assert naming.group_tfidf(tokens, members).count() > 0
+    assert not any(re.search(r"hashpartitioning\([^)]*doc_id#\d+L?, term#", p) for p in plans)
