@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kinshelf.operators import search_index, views
@@ -32,6 +33,36 @@ def test_index_finds_what_the_scan_finds(spark):
     assert "In(piece" in plan
 
 
+def test_lists_are_the_pieces_of_documents(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé\n😀\0x") for _ in range(rng.randrange(9))) for _ in range(40)] + ["", "a"]
+    rows = [(i, f"N{i % 3}", t, None if i % 5 else "T") for i, t in enumerate(texts)]
+    files = spark.createDataFrame(rows, "id long, filename string, text string, file_type string")
+    fields = [search_index.pieces(F.col(c)) for c in ("filename", "text", "file_type")]
+    listed = files.select("id", F.explode(F.array_distinct(F.concat(*fields))).alias("piece")).collect()
+    want = sorted((r.piece, r.id) for r in listed)
+    path = fresh_path(spark, "search")
+    search_index.build_search_index(files.coalesce(1), path, key="id")
+    lists = spark.read.parquet(f"{path}/lists")
+    assert sorted((r.piece, i) for r in lists.collect() for i in r.documents) == want
+    # a row for a piece of a task, not for every document that has it
+    assert lists.count() == len({p for p, _ in want}) < len(want) / 3
+    counts = {r.piece: r.documents for r in spark.read.parquet(f"{path}/counts").collect()}
+    assert counts == {p: sum(q == p for q, _ in want) for p, _ in want}
+    # slices and a very large alphabet give the same
+    monkeypatch.setattr(search_index, "LETTERS", 20)
+    low = [[(r[k] or "").lower() for r in rows] for k in (1, 2, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), *map(pa.array, low)], names=["id", "a", "b", "c"])
+    slices = list(search_index._slices(batch))
+    assert len(slices) > 5 and sum(s.num_rows for s in slices) == len(rows)
+    found = [r for s in slices for r in search_index._listed(s.column(0), [c.to_pylist() for c in s.columns[1:]])]
+    assert sorted((r["piece"], i) for b in found for r in b.to_pylist() for i in r["documents"]) == want
+    wide = [list(map(chr, [*range(32, 0xD800), *range(0xE000, 0x110000)]))]
+    wide = ["".join(wide[0][i :: 9]) for i in range(9)]
+    halves = list(search_index._listed(pa.array(range(9)), [wide]))
+    assert len(halves) > 1 and sum(len(b) for b in halves) > 3_000_000
+
+
 def test_empty_index(spark):
     files = spark.createDataFrame([], "file_path string, filename string, text string, file_type string")
     path = fresh_path(spark, "search")
