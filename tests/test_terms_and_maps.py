@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinshelf import Settings
 from kinshelf.operators import catalog, features, naming, views
+from kinshelf.session import cut_lineage
 from kinshelf.streaming import changes as stream
 
 
@@ -149,3 +150,71 @@ def test_words_are_counted_where_their_document_is(spark, monkeypatch):
     members = tokens.select((F.col("doc_id") % 2).alias("family"), (F.col("doc_id") % 3).alias("grp"), "doc_id")
     assert naming.group_tfidf(tokens, members).count() > 0
     assert not any(re.search(r"hashpartitioning\([^)]*doc_id#\d+L?, term#", p) for p in plans)
+
+
+def _contrast(tokens, members, max_share=0.7):
+    """Weights of ``group_tfidf`` by its definition: ``{(family, grp, term): (docs, w)}``."""
+    tf, docs = Counter(), Counter()
+    for family, grp, doc in members:
+        own = tokens[doc][0] * naming.STEM_WEIGHT + tokens[doc][1]
+        terms = Counter(own + [f"{a} {b}" for a, b in zip(own, own[1:])])
+        tf.update({(family, grp, t): n for t, n in terms.items()})
+        docs.update((family, grp, t) for t in terms)
+    n = Counter(family for family, _ in {(f, g) for f, g, _ in members})
+    df = Counter((f, t) for f, _, t in tf)
+    raw = {
+        (f, g, t): (1 + math.log(k)) * (math.log((1 + n[f]) / (1 + df[f, t])) + 1)
+        for (f, g, t), k in tf.items()
+        if df[f, t] <= max_share * n[f]
+    }
+    square = Counter()
+    for (f, g, _), w in raw.items():
+        square[f, g] += w * w
+    return {k: (docs[k], w / math.sqrt(square[k[:2]])) for k, w in raw.items()}
+
+
+def _grouped_texts(spark):
+    rng = random.Random(5)
+    stock = [a + b + c for a in "bcd" for b in "aeo" for c in "lmr"]
+    tokens = {i: ([rng.choice(stock)], [rng.choice(stock) for _ in range(rng.choice([2, 9, 40]))]) for i in range(70)}
+    members = [("wide", f"g{i // 2}" if i < 40 else "big", i) for i in tokens]
+    members += [(f"f{i % 9}", f"g{i // 30}", i) for i in tokens]
+    return tokens, members, (
+        spark.createDataFrame([(i, *w) for i, w in tokens.items()], "doc_id int, stem_tokens array<string>, tokens array<string>"),
+        spark.createDataFrame(members, "family string, grp string, doc_id int"),
+    )
+
+
+@pytest.mark.parametrize("words", [1 << 19, 400, 50])
+def test_contrast_of_siblings_in_slices(spark, words, monkeypatch):
+    """All families in one task, families over several, and groups too large for a task."""
+    monkeypatch.setattr(naming, "SLICE_WORDS", words)
+    tokens, members, (texts, rows) = _grouped_texts(spark)
+    wanted = _contrast(tokens, members)
+    got = {(r.family, r.grp, r.term): (r.docs, r.w) for r in naming.group_tfidf(texts, rows, stop_words=["none"]).collect()}
+    assert got.keys() == wanted.keys()
+    assert all(got[k][0] == wanted[k][0] and got[k][1] == pytest.approx(wanted[k][1]) for k in wanted)
+
+
+def test_likely_terms_are_all_that_promise(spark, monkeypatch):
+    """What is left out in the tasks is what the bounds leave out, and names stay."""
+    monkeypatch.setattr(naming, "SLICE_WORDS", 400)
+    _, _, (texts, rows) = _grouped_texts(spark)
+    every = cut_lineage(naming.group_tfidf(texts, rows))
+    likely = cut_lineage(naming.group_tfidf(texts, rows, likely=True))
+    assert likely.count() < every.count()
+    assert likely.select("family", "grp").distinct().count() == every.select("family", "grp").distinct().count()
+    key = ["family", "grp", "term"]
+    kept = [sorted(map(tuple, naming.promising_terms(w, rows).select(key).collect())) for w in (every, likely)]
+    assert kept[0] == kept[1]
+
+
+def test_no_term_of_a_group_moves_but_once_a_slice(spark):
+    """The rows that are joined or dealt out are those of slices, not those of groups."""
+    _, _, (texts, rows) = _grouped_texts(spark)
+    rows = rows.withColumn("family", F.lit("f")).withColumn("grp", F.pmod("doc_id", F.lit(35)).cast("string"))
+    made = naming.group_tfidf(texts, rows)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert "hashpartitioning(family" not in plan
