@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinshelf import Settings
-from kinshelf.operators import catalog, features, naming, views
+from kinshelf.operators import catalog, features, naming, spaces, views
 from kinshelf.session import cut_lineage
 from kinshelf.streaming import changes as stream
 
@@ -218,3 +218,17 @@ def test_no_term_of_a_group_moves_but_once_a_slice(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
     assert "hashpartitioning(family" not in plan
+
+
+def test_means_are_made_once_for_a_join(spark, monkeypatch):
+    """The join reads the means twice, so it gets a written table."""
+    seen = []
+    real = spaces.sparse_matches
+    monkeypatch.setattr(spaces, "sparse_matches", lambda left, right, *rest: seen.append(right) or real(left, right, *rest))
+    rows = [(1, "a", 0.6), (1, "b", 0.8), (2, "a", 0.8), (2, "b", 0.6), (3, "a", 1.0)]
+    vectors = spark.createDataFrame(rows, "doc_id long, term string, w double")
+    points = spark.createDataFrame([("root", 3)], "parent string, doc_id long")
+    members = spark.createDataFrame([("root", 1, 1, 1), ("root", 2, 1, 1)], "parent string, doc_id long, n long, grp long")
+    found = spaces.SparseSpace(vectors).nearest(points, members, 0.5).collect()
+    assert [(r.doc_id, r.grp, round(r.sim, 9)) for r in found] == [(3, 1, round(math.sqrt(0.5), 9))]
+    assert "Aggregate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
