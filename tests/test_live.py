@@ -6,6 +6,8 @@ from collections import defaultdict
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,37 @@ def test_graph_after_random_changes(spark):
     assert told(again, spark) == by_hand(docs, LEVELS)
 
 
+def test_components_of_documents_have_all_copies(spark):
+    """Copies are rows of their own, also alone, and a document with two vectors joins what both meet."""
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", [0.0, 1.0]), ("d", [0.0, 1.0]), ("e", [-1.0, 0.0])]
+    rows += [("f", [0.0, 0.0]), ("g", [0.0, 0.0]), ("h", [0.0, -1.0]), ("h", [0.0, -1.0])]
+
+    def found(rows):
+        made = graph.build_graph(spark.createDataFrame(rows, "doc_id string, embedding array<double>"), LEVELS)
+        copies = features.represented(made.members.withColumnRenamed("node", "bag"))
+        return sorted((r.level, r.doc_id, r.component) for r in graph.document_components(made, copies).collect())
+
+    pairs = [(i, d, c) for i in range(4) for d, c in (("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"))]
+    assert found(rows) == pairs
+    assert found([*rows, ("d", [1.0, 0.0])]) == [(i, d, "a") for i, d, _ in pairs]
+
+
+def test_components_after_changes_with_copies(spark, tmp_path):
+    """The query and its SQL on vectors of which many are equal."""
+    from checks.compare import TABLES, compare
+
+    rng = np.random.default_rng(2)
+    own = [[float(np.float32(x)) for x in rng.normal(size=16)] for _ in range(12)]
+    vectors = pa.array([own[i % 12] for i in range(40)], pa.list_(pa.float32()))
+    labels = pa.array(rng.integers(0, 5, 40), pa.int32())
+    for name in TABLES:
+        pq.write_table(pa.table({"id": [0]}), f"{tmp_path}/{name}.parquet")
+    table = pa.table({"vec_id": pa.array(range(40), pa.int64()), "embedding": vectors, "label": labels})
+    pq.write_table(table, f"{tmp_path}/embeddings.parquet")
+    same, note = compare(spark, str(tmp_path), "components_after_changes")
+    assert same, note
+
+
 def test_only_touched_components_are_compared(spark, monkeypatch):
     rows = [(f"{g}{i}", [float(g == k) + 0.01 * i * (k == 5) for k in range(6)]) for g in range(4) for i in range(8)]
     made = graph.build_graph(spark.createDataFrame(rows, "doc_id string, embedding array<double>"), LEVELS)
