@@ -309,3 +309,18 @@ def test_scan_reads_all_visible_files(spark, tmp_path):
     files = spark.createDataFrame(known, "file_path string, file_size long, modification_date timestamp")
     files = catalog_io.complete_columns(files, catalog_io.FILES_SCHEMA)
     assert stream.reconcile(files, listed, lambda paths: None) is None
+
+
+def test_build_clusters_query_places_every_document(spark, tmp_path):
+    """The whole clustering: each document, copies too, with its cluster and what is told of it."""
+    from checks.queries import QUERIES
+
+    texts = [text for _, text in TOPICS] + [TOPICS[0][1], "", None]
+    rows = [(i, text, "en", "src0", len(text or "")) for i, text in enumerate(texts)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["build_clusters"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in found) == list(range(len(texts)))
+    clusters = {(r.cluster_id, r.folder_name, r.size, r.average_similarity, tuple(r.keywords)) for r in found}
+    assert len(clusters) == len({r.cluster_id for r in found})
+    assert all(size == sum(r.cluster_id == c for r in found) for c, _, size, _, _ in clusters)
